@@ -1,0 +1,4 @@
+"""Named queries over the standard tables, and their SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}

@@ -1,4 +1,594 @@
-"""Named queries over the standard tables, and their SQL."""
+"""Named queries over the standard tables, each with its SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import aggregates as A
+from ..functions import features as X
+from ..functions import scalar as S
+from ..operators import baselines, components, hac, metrics, online, pairs, training, trees_sql
+from ..session import cut
+from ..sources.tables import attributes, separated_line, table
+from ..streaming.online import windowed_counts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+#: A few English stop words for the word-count query.
+STOP = ["a", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _points(spark, d) -> DataFrame:
+    """Vector points (pid, label, vec); one file is one task, so rows are dealt out first."""
+    e = table(spark, d, "embeddings").repartition("vec_id")
+    return e.select(F.col("vec_id").alias("pid"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+
+
+
+def _documents(spark, d) -> DataFrame:
+    """Documents as mentions: canopy = language, tokens = distinct words."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("mid"), F.col("lang").alias("canopy"), words.alias("tokens"))
+
+
+_SQL_TOKENS = r"""
+tok AS (
+  SELECT doc_id, lang, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS s FROM documents),
+flat AS (SELECT doc_id, lang, len(s) AS n, unnest(s) AS w FROM tok),
+near AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, a.n AS na, b.n AS nb
+  FROM flat a JOIN flat b ON a.lang = b.lang AND a.w = b.w AND a.doc_id < b.doc_id
+    AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9)
+"""
+
+
+@query(
+    "WITH RECURSIVE" + _SQL_TOKENS + """,
+sym AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.b FROM reach r JOIN sym e ON r.y = e.a),
+c AS (SELECT x AS doc_id, min(y) AS cluster_id FROM reach GROUP BY x)
+SELECT doc_id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS cluster_size FROM c"""
+)
+def document_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Near-duplicate clusters: token sets in a language, Jaccard >= 0.8, connected components."""
+    docs = cut(_documents(spark, d))
+    rep = pairs.copies(docs)
+    near = pairs.token_set_join(docs, 0.8).select("a", "b")
+    edges = near.union(rep.where("mid <> rep").select(F.col("mid").alias("a"), F.col("rep").alias("b")))
+    comp = components.with_singletons(docs, components.connected_components(edges), "mid")
+    size = comp.groupBy("component").agg(F.count("*").alias("cluster_size"))
+    return comp.join(size, "component").select(F.col("mid").alias("doc_id"), F.col("component").alias("cluster_id"), "cluster_size")
+
+
+@query(
+    "WITH" + _SQL_TOKENS + """,
+rep AS (SELECT lang, list_sort(s) AS s, min(doc_id) AS r FROM tok WHERE len(s) > 0 GROUP BY 1, 2)
+SELECT a, b, common, na, nb, common / (CAST(na AS DOUBLE) * nb) AS set_cosine FROM near
+WHERE a IN (SELECT r FROM rep) AND b IN (SELECT r FROM rep)"""
+)
+def document_pairs(spark, d):
+    """Pairs of different token sets (their least documents) with Jaccard >= 0.8."""
+    got = pairs.token_set_join(_documents(spark, d), 0.8)
+    return got.select("a", "b", "common", "na", "nb", (F.col("common") / (F.col("na").cast("double") * F.col("nb"))).alias("set_cosine"))
+
+
+@query("""
+WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''))) AS w FROM documents)
+SELECT w, count(*) AS df, round(ln((SELECT count(*) FROM documents) / count(*)), 6) AS idf FROM w GROUP BY w""".replace("\\\\", "\\"))
+def word_idf(spark, d):
+    return A.idf(table(spark, d, "documents"), "text").select("w", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS s FROM documents)
+SELECT doc_id, len(s) AS n_words, len(list_filter(s, lambda x: NOT list_contains([""" + ", ".join(f"'{w}'" for w in STOP) + """], x))) AS n_content FROM w""")
+def stop_word_filter(spark, d):
+    s = F.array_distinct(S.tokens("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(s).alias("n_words"), F.size(A.without_stop_words(s, STOP)).alias("n_content"))
+
+
+def _name_mentions(spark, d) -> DataFrame:
+    """Part names and types as names: first word, second word, last word; every fifth has no middle name and
+    every seventh only an initial."""
+    w = F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")
+    fn = F.when(F.col("p_partkey") % 7 == 0, F.substring(w[0], 1, 1)).otherwise(w[0])
+    mn = F.when(F.col("p_partkey") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.get(w, F.lit(1))))
+    mn = F.filter(mn, lambda x: x.isNotNull())
+    m = F.map_from_arrays(F.array(F.lit("fn"), F.lit("mn"), F.lit("ln")), F.array(F.array(fn), mn, F.array(F.element_at(w, -1))))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("mid"), F.concat("p_brand", F.lit("/"), F.col("p_size")).alias("canopy"), m.alias("attrs"))
+
+
+_SQL_NAMES = """
+m AS (
+  SELECT p_partkey AS mid, p_brand || '/' || p_size AS canopy,
+    CASE WHEN p_partkey % 7 = 0 THEN substr(string_split(lower(p_name || ' ' || p_type), ' ')[1], 1, 1) ELSE string_split(lower(p_name || ' ' || p_type), ' ')[1] END AS fn,
+    CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE string_split(lower(p_name || ' ' || p_type), ' ')[2] END AS mn,
+    string_split(lower(p_name || ' ' || p_type), ' ')[-1] AS ln FROM part)
+"""
+
+
+@query("WITH" + _SQL_NAMES + """
+SELECT a.mid AS a, b.mid AS b,
+  CASE WHEN length(a.fn) > 1 AND a.fn = b.fn THEN 1.0 ELSE 0.0 END AS fn_match,
+  CASE WHEN length(a.fn) = 1 AND a.fn = b.fn THEN 1.0 ELSE 0.0 END AS fn_initial_match,
+  CASE WHEN length(a.fn) > 1 AND length(b.fn) > 1 AND a.fn <> b.fn THEN 1.0 ELSE 0.0 END AS fn_incompatible,
+  CASE WHEN length(a.mn) > 1 AND length(b.mn) > 1 AND a.mn <> b.mn THEN 1.0 ELSE 0.0 END AS mn_incompatible,
+  CASE WHEN a.mn IS DISTINCT FROM b.mn THEN 1.0 ELSE 0.0 END AS mi_incompatible,
+  CASE WHEN substr(a.mn, 1, 1) = substr(b.mn, 1, 1) THEN 1.0 ELSE 0.0 END AS mi_match,
+  CASE WHEN (a.mn IS NULL) <> (b.mn IS NULL) THEN 1.0 ELSE 0.0 END AS one_mn_missing,
+  CASE WHEN a.mn IS NULL AND b.mn IS NULL THEN 1.0 ELSE 0.0 END AS both_mn_missing
+FROM m a JOIN m b ON a.canopy = b.canopy AND a.mid < b.mid""")
+def name_pair_features(spark, d):
+    p = pairs.canopy_pairs(_name_mentions(spark, d))
+    return p.select(F.col("a_mid").alias("a"), F.col("b_mid").alias("b"), *[c.alias(k) for k, c in X.name_features("a_attrs", "b_attrs").items()])
+
+
+@query("WITH" + _SQL_NAMES + """
+SELECT mid, canopy || '|' || substr(fn, 1, 1) || '|' || coalesce(substr(mn, 1, 1), '') || '|' || ln AS name_key,
+  canopy || '|' || fn || '|' || coalesce(mn, '') || '|' || ln AS strict_key, canopy || '|' || substr(fn, 1, 1) || '|' || ln AS first_key,
+  canopy || '|' || fn || '|' || ln AS strict_first_key FROM m""")
+def baseline_clusters(spark, d):
+    k = baselines.keys()
+    return _name_mentions(spark, d).select("mid", k["name"].alias("name_key"), k["strict_name"].alias("strict_key"), k["first_name"].alias("first_key"), k["strict_first_name"].alias("strict_first_key"))
+
+
+@query("WITH" + _SQL_NAMES + """,
+e AS (SELECT canopy, count(*) AS n, list_distinct(list(fn)) AS fn, list_distinct(list(mn) FILTER (mn IS NOT NULL)) AS mn FROM m GROUP BY canopy)
+SELECT canopy, n, CASE WHEN len(fn) = 1 THEN 1.0 ELSE 0.0 END AS one_fn,
+  CASE WHEN len(list_filter(fn, lambda x: length(x) > 1)) > 1 THEN 1.0 ELSE 0.0 END AS gt1_fn,
+  CASE WHEN coalesce(len(list_filter(mn, lambda x: length(x) > 1)), 0) > 1 THEN 1.0 ELSE 0.0 END AS gt1_mn,
+  CASE WHEN coalesce(len(list_distinct(list_transform(mn, lambda x: substr(x, 1, 1)))), 0) > 1 THEN 1.0 ELSE 0.0 END AS gt1_mi FROM e""")
+def entity_name_features(spark, d):
+    m = _name_mentions(spark, d)
+    e = A.merge_attributes(m, ["canopy"]).join(m.groupBy("canopy").agg(F.count("*").alias("n")), "canopy")
+    return e.select("canopy", "n", *[c.alias(k) for k, c in X.entity_name("attrs").items()])
+
+
+@query("""
+SELECT l_suppkey AS entity, count(*) AS n, count(DISTINCT l_partkey) / CAST(count(*) AS DOUBLE) AS part_ratio,
+  (max(year(l_shipdate)) - min(year(l_shipdate))) / CAST(count(*) AS DOUBLE) AS year_span,
+  CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 1.0 ELSE 0.0 END AS flags_gt1 FROM lineitem GROUP BY l_suppkey""")
+def entity_ratio_features(spark, d):
+    n = F.count("*")
+    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("entity")).agg(
+        n.alias("n"), (F.count_distinct("l_partkey") / n.cast("double")).alias("part_ratio"),
+        ((F.max(F.year("l_shipdate")) - F.min(F.year("l_shipdate"))) / n.cast("double")).alias("year_span"),
+        F.when(F.count_distinct("l_returnflag") > 1, 1.0).otherwise(0.0).alias("flags_gt1"))
+
+
+@query("""
+SELECT k, v, count(*) AS n FROM (
+  SELECT substr(x, 1, strpos(x, ':') - 1) AS k, substr(x, strpos(x, ':') + 1) AS v FROM (
+    SELECT unnest(['em:' || user_id, 't:' || event_type, 'y:' || year(ts), ':none', 'bad', 'e:']) AS x FROM events)
+  WHERE strpos(x, ':') > 1 AND length(x) > strpos(x, ':')) GROUP BY k, v""")
+def attribute_counts(spark, d):
+    """Attribute strings parsed to maps, entries without key or value skipped."""
+    raw = F.array(F.concat(F.lit("em:"), F.col("user_id").cast("string")), F.concat(F.lit("t:"), "event_type"), F.concat(F.lit("y:"), F.year("ts").cast("string")), F.lit(":none"), F.lit("bad"), F.lit("e:"))
+    m = table(spark, d, "events").select(F.explode(attributes(raw)).alias("k", "vs"))
+    return m.select("k", F.explode("vs").alias("v")).groupBy("k", "v").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH x AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+SELECT label, pos, count(*) AS n, round(avg(v), 4) AS centre, min(v) AS low, max(v) AS high FROM x GROUP BY label, pos""")
+def label_centroids_and_boxes(spark, d):
+    g = A.vector_groups(_points(spark, d), ["label"])
+    at = g.select("label", "n", F.posexplode(F.arrays_zip("centroid", "low", "high")).alias("pos", "c"))
+    return at.select("label", "pos", "n", F.round("c.centroid", 4).alias("centre"), F.col("c.low").alias("low"), F.col("c.high").alias("high"))
+
+
+@query("""
+WITH x AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+b AS (SELECT label, pos, min(v) AS lo, max(v) AS hi FROM x GROUP BY label, pos)
+SELECT x.vec_id AS pid, b.label AS box, round(sqrt(sum(power(greatest(x.v - b.hi, b.lo - x.v, 0), 2))), 4) AS near,
+  round(sqrt(sum(power(greatest(b.hi - x.v, x.v - b.lo), 2))), 4) AS far
+FROM x JOIN b ON x.pos = b.pos GROUP BY x.vec_id, b.label""")
+def point_box_distances(spark, d):
+    p = _points(spark, d)
+    boxes = A.vector_groups(p, ["label"]).select(F.col("label").alias("box"), "low", "high")
+    both = p.crossJoin(boxes)  # a stated set of boxes, one a label, against every point
+    return both.select("pid", "box", F.round(S.box_min_distance("vec", "low", "high"), 4).alias("near"), F.round(S.box_max_distance("vec", "low", "high"), 4).alias("far"))
+
+
+_SQL_KNN = """
+WITH d AS (
+  SELECT a.vec_id AS pid, b.vec_id AS nbr, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance
+  FROM embeddings a JOIN embeddings b ON {on}),
+r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY distance, nbr) AS rank FROM d)
+SELECT pid, nbr, round(distance, 4) AS distance, rank FROM r WHERE rank <= {k}"""
+
+
+def _knn(spark, d, k, **options):
+    p = _points(spark, d)
+    return pairs.knn(p, p, k, **options).select("pid", "nbr", F.round("distance", 4).alias("distance"), "rank")
+
+
+@query(_SQL_KNN.format(on="a.vec_id <> b.vec_id", k=1))
+def knn_1(spark, d):
+    return _knn(spark, d, 1)
+
+
+@query(_SQL_KNN.format(on="a.vec_id <> b.vec_id", k=5))
+def knn_5(spark, d):
+    return _knn(spark, d, 5)
+
+
+@query(_SQL_KNN.format(on="a.label <> b.label", k=3))
+def knn_other_label(spark, d):
+    return _knn(spark, d, 3, other_than="label")
+
+
+@query("""
+WITH d AS (
+  SELECT a.label AS g1, b.label AS g2, a.vec_id AS x, b.vec_id AS y, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS v,
+    list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c
+  FROM embeddings a JOIN embeddings b ON a.label < b.label)
+SELECT g1, g2, round(-avg(v), 4) AS average, round(-max(v), 4) AS complete, round(-min(v), 4) AS single,
+  round(ln(sum(exp(-v))), 4) AS log_sum_exp, round(avg(c) - 1, 4) AS cosine_average, arg_min(x, v) AS best_a, arg_min(y, v) AS best_b
+FROM d GROUP BY g1, g2""")
+def label_linkages(spark, d):
+    g = pairs.group_linkages(_points(spark, d))
+    num = ["average", "complete", "single", "log_sum_exp", "cosine_average"]
+    return g.select("g1", "g2", *[F.round(c, 4).alias(c) for c in num], "best_a", "best_b")
+
+
+@query("""
+WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+b AS (SELECT label, pos, min(v) AS lo, max(v) AS hi, sum(v) AS s, count(*) AS n FROM x GROUP BY label, pos)
+SELECT a.label AS g1, c.label AS g2, round(-sum(ln(greatest(a.hi, c.hi) - least(a.lo, c.lo))), 4) AS box_volume,
+  round(-sqrt(sum(power(a.s / a.n - c.s / c.n, 2))), 4) AS centroid
+FROM b a JOIN b c ON a.pos = c.pos AND a.label < c.label GROUP BY a.label, c.label""")
+def label_box_and_centroid_linkage(spark, d):
+    g = cut(A.vector_groups(_points(spark, d), ["label"]))
+    a, b = (g.select(*[F.col(c).alias(p + c) for c in ("label", "centroid", "low", "high")]) for p in ("a_", "b_"))
+    both = a.join(b, F.col("a_label") < F.col("b_label"))
+    side = F.zip_with(F.zip_with("a_high", "b_high", lambda x, y: F.greatest(x, y)), F.zip_with("a_low", "b_low", lambda x, y: F.least(x, y)), lambda h, l: F.log(h - l))
+    return both.select(F.col("a_label").alias("g1"), F.col("b_label").alias("g2"), F.round(-S.total(side), 4).alias("box_volume"), F.round(-S.difference_norm("a_centroid", "b_centroid"), 4).alias("centroid"))
+
+
+@query("""
+SELECT least(a.vec_id, b.vec_id) AS a, greatest(a.vec_id, b.vec_id) AS b,
+  round(-list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS score
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 1, 2 LIMIT 1""")
+def first_merge(spark, d):
+    """The best pair of all: the first merge of every linkage on single points."""
+    p = _points(spark, d)
+    a, b = pairs.unordered("pid", "nbr")
+    best = pairs.knn(p, p, 1).select(a.alias("a"), b.alias("b"), "distance").orderBy("distance", "a", "b").limit(1)
+    return best.select("a", "b", F.round(-F.col("distance"), 4).alias("score"))
+
+
+_SQL_NEAR = """
+near AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score, a.label = b.label AS same
+  FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+  WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= {t})"""
+
+
+@query("WITH RECURSIVE" + _SQL_NEAR.format(t=0.38) + """,
+sym AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, e.b FROM reach r JOIN sym e ON r.y = e.a)
+SELECT x AS pid, min(y) AS cluster FROM reach GROUP BY x""")
+def single_link_cut(spark, d):
+    """Single-link clusters of points at cosine 0.38: components of the near pairs."""
+    p = _points(spark, d)
+    comp = components.threshold_components(pairs.near_pairs(p, 0.38), 0.38)
+    return components.with_singletons(p, comp, "pid").select("pid", F.col("component").alias("cluster"))
+
+
+@query("WITH RECURSIVE" + _SQL_NEAR.format(t=0.38) + """,
+sym AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+reach AS (SELECT a AS x, a AS y FROM sym UNION SELECT r.x, e.b FROM reach r JOIN sym e ON r.y = e.a),
+c AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+SELECT c AS cluster, count(*) - 1 AS n_edges FROM c GROUP BY c""")
+def spanning_forest_sizes(spark, d):
+    """Edges of the maximum spanning forest of the near pairs, by cluster: one less than its points."""
+    f = components.spanning_forest(pairs.near_pairs(_points(spark, d), 0.38).select("a", "b", "score"))
+    comp = components.connected_components(f).select(F.col("id").alias("a"), "component")
+    return f.join(comp, "a").groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("n_edges"))
+
+
+@query("WITH" + _SQL_NEAR.format(t=0.3) + """,
+v AS (SELECT floor(score * 100) / 100 AS t, count(*) FILTER (same) AS tp, count(*) FILTER (NOT same) AS fp FROM near GROUP BY 1),
+g AS (SELECT sum(n * (n - 1) / 2) AS gt FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)),
+r AS (SELECT t, sum(tp) OVER (ORDER BY t DESC) AS tp, sum(fp) OVER (ORDER BY t DESC) AS fp FROM v)
+SELECT t, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, 2 * tp / (gt + tp + fp) AS f1 FROM r, g""")
+def exact_threshold_sweep(spark, d):
+    p = _points(spark, d)
+    near = pairs.near_pairs(p, 0.3, label="label").select((F.floor(F.col("score") * 100) / 100).alias("score"), F.col("same").cast("long").alias("tp"), (~F.col("same")).cast("long").alias("fp"))
+    gt = p.groupBy("label").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0.0
+    return trees_sql.threshold_sweep(near, gt)
+
+
+def _clustering(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select((F.col("vec_id") % 7).alias("cluster"), "label", (F.col("vec_id") % 4).alias("canopy"))
+
+
+_SQL_CELLS = """
+cells AS (SELECT vec_id % 4 AS canopy, vec_id % 7 AS cluster, label, count(*) AS n FROM embeddings GROUP BY 1, 2, 3),
+cl AS (SELECT canopy, cluster, sum(n) AS n FROM cells GROUP BY 1, 2), lb AS (SELECT canopy, label, sum(n) AS n FROM cells GROUP BY 1, 2),
+k AS (
+  SELECT canopy, CAST(tp AS BIGINT) AS tp, CAST(pp - tp AS BIGINT) AS fp, CAST(gt AS BIGINT) AS gt FROM
+    (SELECT canopy, sum(n * (n - 1) / 2) AS tp FROM cells GROUP BY 1) JOIN (SELECT canopy, sum(n * (n - 1) / 2) AS pp FROM cl GROUP BY 1) USING (canopy)
+    JOIN (SELECT canopy, sum(n * (n - 1) / 2) AS gt FROM lb GROUP BY 1) USING (canopy))"""
+
+
+@query("WITH" + _SQL_CELLS + """
+SELECT canopy, tp, fp, gt, tp / CAST(tp + fp AS DOUBLE) AS precision, tp / CAST(gt AS DOUBLE) AS recall, 2 * tp / CAST(gt + tp + fp AS DOUBLE) AS f1 FROM k""")
+def pairwise_f1_by_canopy(spark, d):
+    return metrics.pairwise_f1(metrics.pair_counts(metrics.contingency(_clustering(spark, d), "cluster", "label", "canopy"), "canopy"))
+
+
+@query("WITH" + _SQL_CELLS + """, s AS (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(gt) AS BIGINT) AS gt FROM k)
+SELECT tp, fp, gt, tp / CAST(tp + fp AS DOUBLE) AS precision, tp / CAST(gt AS DOUBLE) AS recall, 2 * tp / CAST(gt + tp + fp AS DOUBLE) AS f1 FROM s""")
+def micro_f1_over_canopies(spark, d):
+    return metrics.micro_f1(metrics.pair_counts(metrics.contingency(_clustering(spark, d), "cluster", "label", "canopy"), "canopy"))
+
+
+@query("WITH" + _SQL_CELLS + """, b AS (
+  SELECT c.canopy, sum(c.n * c.n / CAST(x.n AS DOUBLE)) / sum(c.n) AS p, sum(c.n * c.n / CAST(y.n AS DOUBLE)) / sum(c.n) AS r
+  FROM cells c JOIN cl x ON c.canopy = x.canopy AND c.cluster = x.cluster JOIN lb y ON c.canopy = y.canopy AND c.label = y.label GROUP BY c.canopy)
+SELECT canopy, round(p, 4) AS precision, round(r, 4) AS recall, round(2 * p * r / (p + r), 4) AS f1 FROM b""")
+def b_cubed_by_canopy(spark, d):
+    b = metrics.b_cubed(metrics.contingency(_clustering(spark, d), "cluster", "label", "canopy"), "canopy")
+    return b.select("canopy", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("WITH" + _SQL_CELLS + """, t AS (
+  SELECT k.canopy, tp, fp, gt - tp AS fn, a.n * (a.n - 1) / 2 - fp - gt AS tn FROM k JOIN (SELECT canopy, sum(n) AS n FROM cells GROUP BY 1) a USING (canopy))
+SELECT canopy, round((tp / CAST(tp + fp AS DOUBLE) + tn / CAST(tn + fn AS DOUBLE)) / 2, 4) AS precision,
+  round((tp / CAST(tp + fn AS DOUBLE) + tn / CAST(tn + fp AS DOUBLE)) / 2, 4) AS recall,
+  round((2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) + 2 * tn / CAST(2 * tn + fp + fn AS DOUBLE)) / 2, 4) AS f1 FROM t""")
+def blanc_by_canopy(spark, d):
+    b = metrics.blanc(metrics.contingency(_clustering(spark, d), "cluster", "label", "canopy"), "canopy")
+    return b.select("canopy", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("""
+WITH c AS (SELECT vec_id % 7 AS cluster, label, count(*) AS n FROM embeddings WHERE label <> 3 GROUP BY 1, 2),
+g AS (SELECT cluster, CAST(sum(n * (n - 1) / 2) AS BIGINT) AS tp, CAST(sum(n) * (sum(n) - 1) / 2 AS BIGINT) AS a FROM c GROUP BY 1)
+SELECT cluster, tp, a - tp AS fp, tp / CAST(a AS DOUBLE) AS precision FROM g""")
+def merge_precision(spark, d):
+    rows = table(spark, d, "embeddings").select((F.col("vec_id") % 7).alias("cluster"), F.when(F.col("label") != 3, F.col("label")).alias("label"))
+    return metrics.merge_precision(rows, "cluster", "label")
+
+
+@query("WITH" + _SQL_CELLS + """, f AS (SELECT tp / CAST(tp + fp AS DOUBLE) AS precision, tp / CAST(gt AS DOUBLE) AS recall FROM k)
+SELECT 'precision' AS metric, round(avg(precision), 6) AS mean, round(stddev_pop(precision), 6) AS std, min(precision) AS min, max(precision) AS max FROM f
+UNION ALL SELECT 'recall', round(avg(recall), 6), round(stddev_pop(recall), 6), min(recall), max(recall) FROM f""")
+def run_summary(spark, d):
+    r = metrics.run_summary(pairwise_f1_by_canopy(spark, d), "precision", "recall")
+    return r.select("metric", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "max")
+
+
+def _heap(spark, d) -> DataFrame:
+    """A tree made by arithmetic: leaf of rank r is node n + r, the parent of k is k // 2."""
+    e = table(spark, d, "embeddings")
+    n = e.count()
+    ranked = e.select("label", (F.row_number().over(Window.orderBy("vec_id")) - 1 + n).alias("node"))  # a fixture of one task
+    leaves = ranked.select("node", F.lit(None).cast("double").alias("score"), F.lit(True).alias("is_leaf"), "label")
+    inner = spark.range(1, n).select(F.col("id").cast("int").alias("node"), ((F.col("id") * 37) % 101 / 100).alias("score"), F.lit(False).alias("is_leaf"), F.lit(None).cast("int").alias("label"))
+    t = leaves.union(inner)
+    return t.withColumn("parent", F.when(F.col("node") > 1, F.floor(F.col("node") / 2).cast("int")))
+
+
+_SQL_HEAP = """
+sz AS (SELECT count(*) AS n FROM embeddings),
+tree AS (
+  SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 + n AS INTEGER) AS node, label, TRUE AS is_leaf, CAST(NULL AS DOUBLE) AS score FROM embeddings, sz
+  UNION ALL SELECT CAST(i AS INTEGER), NULL, FALSE, (i * 37) % 101 / 100.0 FROM sz, range(1, n) t(i)),
+up AS (
+  SELECT node AS descendant, node AS ancestor, 0 AS dist FROM tree
+  UNION ALL SELECT descendant, CAST(ancestor // 2 AS INTEGER), dist + 1 FROM up WHERE ancestor > 1)"""
+
+
+@query("WITH RECURSIVE" + _SQL_HEAP + """
+SELECT t.node, max(u.dist) AS depth, (SELECT max(v.dist) FROM up v WHERE v.ancestor = t.node) AS height,
+  (SELECT count(*) FROM up v JOIN tree l ON l.node = v.descendant AND l.is_leaf WHERE v.ancestor = t.node) AS n_leaves
+FROM tree t JOIN up u ON u.descendant = t.node GROUP BY t.node""")
+def tree_depths(spark, d):
+    t = cut(_heap(spark, d))
+    up = trees_sql.closure(t)
+    n = trees_sql.leaves(up, t).groupBy("node").agg(F.count("*").alias("n_leaves"))
+    return trees_sql.depth(up).join(trees_sql.height(up), "node").join(n, "node")
+
+
+@query("WITH RECURSIVE" + _SQL_HEAP + """,
+p AS (SELECT a.node AS a, b.node AS b FROM tree a JOIN tree b ON b.node = a.node + 17 + a.node % 29)
+SELECT p.a, p.b, arg_min(x.ancestor, x.dist) AS lca FROM p JOIN up x ON x.descendant = p.a JOIN up y ON y.descendant = p.b AND y.ancestor = x.ancestor GROUP BY p.a, p.b""")
+def tree_lca(spark, d):
+    t = cut(_heap(spark, d))
+    a, b = t.select(F.col("node").alias("a")), t.select(F.col("node").alias("b"))
+    return trees_sql.lca(trees_sql.closure(t), a.withColumn("b", F.col("a") + 17 + F.col("a") % 29).join(b, "b", "left_semi"))
+
+
+@query("WITH RECURSIVE" + _SQL_HEAP + """,
+s AS (SELECT a.node, b.node AS sibling FROM tree a JOIN tree b ON a.node // 2 = b.node // 2 AND a.node <> b.node AND a.node > 1 AND b.node > 1)
+SELECT s.node, s.sibling, t.sibling AS aunt FROM s LEFT JOIN s t ON t.node = s.node // 2""")
+def tree_relatives(spark, d):
+    t = cut(_heap(spark, d))
+    return trees_sql.siblings(t).join(trees_sql.aunts(t), "node", "left")
+
+
+@query("WITH RECURSIVE" + _SQL_HEAP + """,
+c AS (SELECT u.ancestor AS node, l.label, count(*) AS n FROM up u JOIN tree l ON l.node = u.descendant AND l.is_leaf GROUP BY 1, 2),
+k AS (SELECT x.node, x.label, coalesce(a.n, 0) AS l, coalesce(b.n, 0) AS r FROM c x JOIN tree t ON t.node = x.node AND NOT t.is_leaf
+  LEFT JOIN c a ON a.node = 2 * x.node AND a.label = x.label LEFT JOIN c b ON b.node = 2 * x.node + 1 AND b.label = x.label),
+p AS (SELECT node, max(n) / CAST(sum(n) AS DOUBLE) AS purity FROM c GROUP BY node)
+SELECT k.node, CAST(sum(l * r) AS BIGINT) AS tp, CAST(sum(l) * sum(r) - sum(l * r) AS BIGINT) AS fp, any_value(p.purity) AS purity FROM k JOIN p USING (node) GROUP BY k.node""")
+def tree_split_counts(spark, d):
+    """Same- and other-label pairs between the children of each inner node, and its purity."""
+    t = cut(_heap(spark, d))
+    counts = cut(trees_sql.class_counts(trees_sql.closure(t), t))
+    return trees_sql.split_counts(counts, t).join(trees_sql.purity(counts).select("node", "purity"), "node")
+
+
+@query("WITH RECURSIVE" + _SQL_HEAP + """,
+low AS (SELECT u.ancestor AS node, min(t.score) AS low FROM up u JOIN tree t ON t.node = u.descendant AND NOT t.is_leaf GROUP BY 1)
+SELECT u.descendant AS leaf, arg_max(u.ancestor, u.dist) AS cluster FROM up u JOIN tree l ON l.node = u.descendant AND l.is_leaf
+  JOIN tree a ON a.node = u.ancestor LEFT JOIN low ON low.node = u.ancestor WHERE a.is_leaf OR low.low >= 0.3 GROUP BY u.descendant""")
+def tree_threshold_cut(spark, d):
+    t = cut(_heap(spark, d))
+    return trees_sql.threshold_cut(trees_sql.closure(t), t, 0.3)
+
+
+@query("WITH RECURSIVE" + _SQL_HEAP + """
+SELECT u.descendant AS leaf, arg_max(u.ancestor, u.dist) AS cluster FROM up u JOIN tree l ON l.node = u.descendant AND l.is_leaf
+WHERE u.ancestor % 5 = 2 OR u.dist = 0 GROUP BY u.descendant""")
+def tree_marker_cut(spark, d):
+    t = cut(_heap(spark, d))
+    return trees_sql.marker_cut(trees_sql.closure(t), t, t.where("node % 5 = 2"))
+
+
+@query("WITH RECURSIVE" + _SQL_HEAP + """,
+c AS (SELECT u.ancestor AS node, l.label, count(*) AS n FROM up u JOIN tree l ON l.node = u.descendant AND l.is_leaf GROUP BY 1, 2),
+s AS (SELECT node, sum(n) AS t FROM c GROUP BY node),
+k AS (SELECT x.node, x.label, x.n / CAST(s.t AS DOUBLE) AS share, coalesce(a.n, 0) * coalesce(b.n, 0) AS pairs FROM c x JOIN s ON s.node = x.node
+  LEFT JOIN c a ON a.node = 2 * x.node AND a.label = x.label LEFT JOIN c b ON b.node = 2 * x.node + 1 AND b.label = x.label)
+SELECT round(sum(pairs * share) / sum(pairs), 6) AS purity FROM k""")
+def dendrogram_purity(spark, d):
+    t = cut(_heap(spark, d))
+    up = trees_sql.closure(t)
+    return trees_sql.dendrogram_purity(up, t, trees_sql.class_counts(up, t)).select(F.round("purity", 6).alias("purity"))
+
+
+@query("SELECT lang AS canopy, count(*) AS n FROM documents GROUP BY lang")
+def canopy_sizes(spark, d):
+    return hac.sizes(_documents(spark, d))
+
+
+@query("""
+SELECT canopy, mid FROM (SELECT lang AS canopy, doc_id AS mid, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 100""")
+def canopy_limit(spark, d):
+    """The first 100 mentions of each canopy (a limit that is the feature: development canopies)."""
+    w = Window.partitionBy("canopy").orderBy("mid")
+    return table(spark, d, "documents").select(F.col("lang").alias("canopy"), F.col("doc_id").alias("mid")).withColumn("rn", F.row_number().over(w)).where("rn <= 100").drop("rn")
+
+
+@query("""
+SELECT vec_id AS pid, row_number() OVER (ORDER BY (vec_id * 7919 + 33) % 10007, vec_id) AS pos FROM embeddings""")
+def seeded_order(spark, d):
+    """A seeded shuffle by arithmetic on ids, so that another engine can repeat it."""
+    h = (F.col("vec_id") * 7919 + 33) % 10007
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("pid"), h.alias("h"))
+    # Positions without one global task: ranks inside a bucket of hashes plus the counts of the buckets before it.
+    e = e.withColumn("b", F.floor(F.col("h") / 64))
+    n = e.groupBy("b").agg(F.count("*").alias("m"))
+    before = n.select("b", F.coalesce(F.sum("m").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    w = Window.partitionBy("b").orderBy("h", "pid")
+    return e.join(F.broadcast(before), "b").select("pid", (F.row_number().over(w) + F.col("before")).alias("pos"))  # 157 buckets at most
+
+
+@query("""
+SELECT e.vec_id AS pid, n.vec_id AS nn FROM embeddings e LEFT JOIN embeddings n ON n.vec_id = e.vec_id * 3 + 1""")
+def preset_neighbours(spark, d):
+    p = table(spark, d, "embeddings").select(F.col("vec_id").alias("pid"))
+    known = p.select(((F.col("pid") - 1) / 3).cast("long").alias("at"), F.col("pid").alias("nn")).where("pid % 3 = 1").select(F.col("at").alias("pid"), "nn")
+    return pairs.preset_neighbours(p, known)
+
+
+@query("""
+SELECT o_custkey AS a, l_suppkey AS b FROM (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey) x
+WHERE NOT EXISTS (SELECT 1 FROM customer c JOIN supplier s ON c_nationkey = s_nationkey WHERE c_custkey = o_custkey AND s_suppkey = l_suppkey)""")
+def off_limits_pairs(spark, d):
+    """Customer-supplier candidates without those of one nation (anti join)."""
+    o, l = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("a")), table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("b"))
+    cand = o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).select("a", "b").distinct()
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("a"), F.col("c_nationkey").alias("nation"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("nation_b"))
+    return cand.join(c, "a").join(s, "b").where("nation is null or nation_b is null or nation <> nation_b").select("a", "b")
+
+
+@query("""
+SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2""")
+def event_windows(spark, d):
+    return windowed_counts(table(spark, d, "events")).withColumn("v", F.round("v", 4))
+
+
+@query("""
+SELECT i AS pid, CASE WHEN i < 512 THEN '1' ELSE '2' END AS label FROM range(0, 1024) t(i)""")
+def separated_points(spark, d):
+    """The hierarchically separated line of 11 levels, by rank (the positions are in the tests)."""
+    p = separated_line(spark, 11)
+    return p.select(F.col("vec")[0].alias("x"), "label").withColumn("pid", F.row_number().over(Window.orderBy("x")) - 1).select(F.col("pid").cast("long").alias("pid"), "label")
+
+
+def _canopied(spark, d) -> DataFrame:
+    """Points in ten canopies by label (each a few hundredths of the rows)."""
+    return _points(spark, d).withColumn("canopy", F.col("label").cast("string")).withColumn("pid", F.lpad(F.col("pid").cast("string"), 9, "0")).withColumn("label", F.col("label").cast("string"))
+
+
+@query()
+def ehac_average_tree(spark, d):
+    return hac.agglomerate(_canopied(spark, d), linkage="average")
+
+
+@query()
+def ehac_learned_tree(spark, d):
+    """Single linkage on pair scores, as the untrained merge model is."""
+    p = _points(spark, d)
+    near = pairs.near_pairs(p, -1.0, label="label").where("same").join(p.select(F.col("pid").alias("a"), F.col("label").cast("string").alias("canopy")), "a")
+    return hac.agglomerate_scores(near, p.select(F.col("label").cast("string").alias("canopy"), "pid", F.col("label").cast("string").alias("label")))
+
+
+@query()
+def mini_batch_tree(spark, d):
+    return hac.agglomerate(_canopied(spark, d), linkage="centroid", mini_batch_size=20)
+
+
+@query()
+def greedy_tree(spark, d):
+    return online.cluster(_canopied(spark, d), scheme="greedy")
+
+
+@query()
+def perch_tree(spark, d):
+    return online.cluster(_canopied(spark, d), scheme="perch")
+
+
+@query()
+def grinch_tree(spark, d):
+    return online.cluster(_canopied(spark, d), scheme="grinch")
+
+
+@query()
+def grinch_cosine_tree(spark, d):
+    return online.cluster(_canopied(spark, d), scheme="grinch", linkage="cosine_average", fast_graft=True, beam=5)
+
+
+@query()
+def box_tree(spark, d):
+    return online.cluster(_canopied(spark, d), scheme="box")
+
+
+@query()
+def facility_tree(spark, d):
+    return online.cluster(_canopied(spark, d), scheme="facility")
+
+
+@query()
+def best_f1_cut(spark, d):
+    return trees_sql.best_f1_cut(hac.agglomerate(_points(spark, d).withColumn("canopy", (F.col("pid") % 8).cast("string")).withColumn("pid", F.lpad(F.col("pid").cast("string"), 9, "0")).withColumn("label", F.col("label").cast("string")), linkage="cosine_average"))
+
+
+@query()
+def pair_model_weights(spark, d):
+    """Weights of the name model, trained on pairs of part names labelled by their strict key."""
+    p = pairs.canopy_pairs(_name_mentions(spark, d))
+    p = p.withColumn("label", (S.items("a_attrs", "ln") == S.items("b_attrs", "ln")).cast("double"))
+    fit = training.fit_pair_model(training.pair_table(p, "name"), "name")
+    return spark.createDataFrame(sorted(fit["weights"].items()), "feature string, weight double")

@@ -238,7 +238,7 @@ def telling(rows: list[np.ndarray], y: np.ndarray, order: list[int], level: floa
     return at[(share > r) & (n * kl > math.log(max(1, int((n > 2).sum())) / level))]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = 4000, l1: float = 0.144, l2: float = 0.1, alpha: float = 0.5, epochs: int = 3, floor: float = 1.5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = 4000, l1: float = 0.1, l2: float = 0.02, alpha: float = 1.0, epochs: int = 12, floor: float = 1.0) -> Model:
     """Learn from ``docs``: the character model from all texts, the weights from about ``bound``
     labelled rows of each kind.  Labels are joined by id and are otherwise unused.
 

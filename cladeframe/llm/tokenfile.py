@@ -15,7 +15,9 @@ table gives an empty file set.  Other columns of the documents are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import uuid
 import zlib
 
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from .bpe import byte_chars
 from .common import MEMO_ENTRIES, shared_dir, ship
 
 #: Parquet writer settings of the format.
@@ -51,12 +54,23 @@ SCHEMA = T.StructType(
 )
 MANIFEST = "part int, n long, base long"
 
+#: Fixed value: the piece pattern of word vocabularies that drop white space.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Chunks of printable ASCII and Latin-1 letters, and the same pattern over them in lower case.
+_LATIN = re.compile("[\x21-\x7e\u00c0-\u00ff]+")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
 _LOADED: dict[str, object] = {}
 
 
 class ChunkMemo(dict):
     """Ids of the chunks between blanks.  No piece of the vocabulary's pattern crosses a blank, so
-    the ids of a text are those of its chunks; a chunk goes to the tokenizers library once."""
+    the ids of a text are those of its chunks.
+
+    A chunk of plain Latin characters is cut into pieces here, as the file's normaliser and pattern
+    cut it, and each new piece goes to the library's model; any other chunk goes to the whole
+    tokenizer.  Files with another pattern send every chunk to the tokenizer.
+    """
 
     def __init__(self, spec: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,12 +79,29 @@ class ChunkMemo(dict):
         self.tok = Tokenizer.from_buffer(spec)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.pieces: dict[str, list[int]] = {}
+        j = json.loads(spec)
+        pattern = [x["pattern"].get("Regex") for x in (j.get("pre_tokenizer") or {}).get("pretokenizers", ()) if x["type"] == "Split"]
+        normal = [x["type"] for x in (j.get("normalizer") or {}).get("normalizers", ())]
+        self.known_form = pattern == [PATTERN] and normal == ["NFC", "Replace", "Lowercase"]
+        self.chars = byte_chars()
         self[""] = b""
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tok.encode(chunk, add_special_tokens=False).ids, np.uint32).tobytes()
-        self[chunk] = ids
-        return ids
+        if self.known_form and _LATIN.fullmatch(chunk) and "<|" not in chunk:
+            ids, have = [], self.pieces
+            for p in _PIECE.findall(chunk.lower()):
+                got = have.get(p)
+                if got is None:
+                    if len(have) > MEMO_ENTRIES // 2:
+                        have.clear()
+                    raw = p if p.isascii() else "".join([self.chars[b] for b in p.encode()])
+                    got = have[p] = [t.id for t in self.tok.model.tokenize(raw)]
+                ids += got
+        else:
+            ids = self.tok.encode(chunk, add_special_tokens=False).ids
+        out = self[chunk] = np.array(ids, np.uint32).tobytes()
+        return out
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))

@@ -118,7 +118,7 @@ class Filter:
     @staticmethod
     def spots(h: np.ndarray, j: int, seg_bits: np.uint64):
         """Bit positions inside a segment of (h, j), one array a hash function."""
-        x = (h ^ (np.uint64(j) * _M2)) * _M1
+        x = (h ^ np.uint64(j * int(_M2) & (1 << 64) - 1)) * _M1
         x ^= x >> np.uint64(32)
         y = (x * _M2) | np.uint64(1)
         for i in range(HASHES):

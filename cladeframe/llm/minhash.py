@@ -266,11 +266,10 @@ def keep_one(docs: DataFrame, spec: Bands = Bands(), *, doc_id: str = "doc_id",
     """The documents, all columns kept, that are the first (least id) of their group; of rows that
     share that id one stays.  Texts without words all stay."""
     groups = jaccard_join(docs, spec, doc_id=doc_id, text=text)
-    # A group of one keeps its rows as they are; elsewhere only the least id stays.
-    lone = groups.groupBy("doc_id").agg(F.min("class_id").alias("c"), F.max("n_copies").alias("k"), F.count("*").alias("rows"))
-    stay = lone.where((F.col("c") == F.col("doc_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_stay_id"), F.col("rows").alias("_stay_rows"))
-    kept = docs.join(stay, docs[doc_id].cast("long").eqNullSafe(stay["_stay_id"]), "inner")
-    once = kept.where("_stay_rows = 1").select(*[kept[c] for c in docs.columns])
-    more = kept.where("_stay_rows > 1").select(*[kept[c] for c in docs.columns])
+    best = groups.groupBy("doc_id").agg(F.min("class_id").alias("c"), F.count("*").alias("n_rows"))
+    stay = best.where((F.col("c") == F.col("doc_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("stay_id"), "n_rows")
+    kept = docs.join(stay, docs[doc_id].cast("long").eqNullSafe(stay["stay_id"]), "inner")
+    cols = [docs[c] for c in docs.columns]
+    once, more = kept.where(stay["n_rows"] == 1).select(*cols), kept.where(stay["n_rows"] > 1).select(*cols)
     wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     return once.union(more.where(~wordless).dropDuplicates([doc_id])).union(more.where(wordless))

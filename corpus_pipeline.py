@@ -28,9 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stats = written(rules.statistics(docs), "pipeline-quality")
     judged = rules.judge(stats, rules.fit(stats, table(spark, sf_dir, "labels")))
-    good = judged.where("kept").groupBy("doc_id").agg(F.max("n_words").alias("_good_words"))
-    # Rows that share an id are told apart by the base rule, which any kept text passes.
-    return docs.join(good.select(F.col("doc_id").alias("_good_id")), docs.doc_id.cast("long").eqNullSafe(F.col("_good_id")), "left_semi")
+    good = judged.where("kept").select(F.col("doc_id").alias("good_id")).distinct()
+    # Rows that share an id stay together: all of them, if one is good.
+    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(good["good_id"]), "left_semi")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..session import cut
 
 
 def canopy_pairs(df: DataFrame, *, canopy: str = "canopy", key: str = "mid") -> DataFrame:
@@ -133,9 +134,11 @@ def token_set_join(df: DataFrame, threshold: float, *, canopy: str = "canopy", k
     the rarest tokens of their sets (prefix filter), so a frequent token never joins anything that
     a rarer one does not.  Verification is on the full sets.
     """
-    sets = df.where(F.size(tokens) > 0).select(canopy, F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens)).alias("s"))
-    reps = sets.groupBy(canopy, "s").agg(F.min("k").alias("k"))
-    flat = reps.select(canopy, "k", F.size("s").alias("n"), F.explode("s").alias("w"))
+    sets = df.where(F.size(tokens) > 0).select(canopy, F.col(key).alias("k"), F.sort_array(F.array_distinct(tokens)).alias("s"))
+    # Written out: the sets are read four times below.
+    reps = cut(sets.groupBy(canopy, "s").agg(F.min("k").alias("k")))
+    # Tokens are hashed for the filter alone: a collision adds a candidate, which verification drops.
+    flat = reps.select(canopy, "k", F.size("s").alias("n"), F.explode(F.transform("s", lambda w: F.xxhash64(w))).alias("w"))
     freq = flat.groupBy(canopy, "w").agg(F.count("*").alias("df"))
     ranked = flat.join(freq, [canopy, "w"]).withColumn("at", F.row_number().over(Window.partitionBy(canopy, "k").orderBy("df", "w")))
     # Sets with overlap o of n tokens share one of the n - o + 1 rarest; o >= threshold * n.
@@ -150,7 +153,7 @@ def token_set_join(df: DataFrame, threshold: float, *, canopy: str = "canopy", k
 
 def copies(df: DataFrame, *, canopy: str = "canopy", key: str = "mid", tokens: str = "tokens") -> DataFrame:
     """(key, rep): the least key with the same canopy and token set; sets without tokens are alone."""
-    sets = df.select(canopy, key, F.array_sort(F.array_distinct(tokens)).alias("s"))
+    sets = df.select(canopy, key, F.sort_array(F.array_distinct(tokens)).alias("s"))
     reps = sets.where(F.size("s") > 0).groupBy(canopy, "s").agg(F.min(key).alias("rep"))
     return sets.join(reps, [canopy, "s"], "left").select(key, F.coalesce("rep", key).alias("rep"))
 

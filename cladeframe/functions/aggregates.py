@@ -28,9 +28,9 @@ def merge_attributes(df: DataFrame, by: list[str], attrs: str = "attrs") -> Data
 
 def idf(df: DataFrame, text: str) -> DataFrame:
     """(w, df, idf): ln(documents / documents with the word)."""
-    n = df.select(F.count(F.lit(1)).alias("n_docs"))
+    n = df.count()
     words = df.select(F.explode(F.array_distinct(S.tokens(text))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    return words.crossJoin(F.broadcast(n)).select("w", "df", F.log(F.col("n_docs") / F.col("df")).alias("idf"))
+    return words.select("w", "df", F.log(F.lit(float(n)) / F.col("df")).alias("idf"))
 
 
 def without_stop_words(words, stop: list[str]):

@@ -16,15 +16,12 @@ def contingency(df: DataFrame, cluster: str, label: str, *by: str) -> DataFrame:
 
 def pair_counts(cells: DataFrame, *by: str) -> DataFrame:
     """(by, tp, fp, gt): pairs that share cluster and label, cluster only, and label."""
-    tp = cells.groupBy(*by).agg(F.sum(_pairs(F.col("n"))).alias("tp"))
-    cl = cells.groupBy(*by, "cluster").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(_pairs(F.col("n"))).alias("pp"))
-    gt = cells.groupBy(*by, "label").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(_pairs(F.col("n"))).alias("gt"))
-    if by:
-        both = tp.join(cl, list(by)).join(gt, list(by))
-    else:
-        both = tp.crossJoin(cl).crossJoin(gt)  # three frames of one row
-    long = lambda c: F.coalesce(c, F.lit(0.0)).cast("long")
-    return both.select(*by, long(F.col("tp")).alias("tp"), long(F.col("pp") - F.col("tp")).alias("fp"), long(F.col("gt")).alias("gt"))
+    n, none = F.col("n"), F.lit(0.0)
+    sizes = lambda c: cells.groupBy(*by, c).agg(F.sum("n").alias("n"))
+    rows = cells.select(*by, _pairs(n).alias("tp"), none.alias("pp"), none.alias("gt"))
+    rows = rows.union(sizes("cluster").select(*by, none, _pairs(n), none)).union(sizes("label").select(*by, none, none, _pairs(n)))
+    long = lambda c: F.coalesce(F.sum(c), none).cast("long")
+    return rows.groupBy(*by).agg(long(F.col("tp")).alias("tp"), long(F.col("pp") - F.col("tp")).alias("fp"), long(F.col("gt")).alias("gt"))
 
 
 def pairwise_f1(counts: DataFrame) -> DataFrame:
@@ -52,9 +49,9 @@ def b_cubed(cells: DataFrame, *by: str) -> DataFrame:
 def blanc(cells: DataFrame, *by: str) -> DataFrame:
     """BLANC: means of the precision, recall and F1 of coreference links and of non-links; where one
     kind is in neither side the other alone counts."""
-    counts = pair_counts(cells, *by)
-    total = cells.groupBy(*by).agg(_pairs(F.sum("n")).cast("long").alias("all"))
-    both = counts.join(total, list(by)) if by else counts.crossJoin(total)
+    counts = pair_counts(cells, *by).withColumn("n", F.lit(0).cast("long"))
+    sizes = cells.groupBy(*by).agg(F.sum("n").alias("n")).select(*by, *[F.lit(0).cast("long").alias(c) for c in ("tp", "fp", "gt")], "n")
+    both = counts.union(sizes).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "gt", "n")]).withColumn("all", _pairs(F.col("n")))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("gt") - F.col("tp")
     tn = F.col("all") - tp - fp - fn
     pc, rc, pn, rn = _ratio(tp, tp + fp), _ratio(tp, tp + fn), _ratio(tn, tn + fn), _ratio(tn, tn + fp)

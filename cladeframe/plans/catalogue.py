@@ -195,11 +195,12 @@ WITH x AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS pos, CAST(
 b AS (SELECT label, pos, min(v) AS lo, max(v) AS hi FROM x GROUP BY label, pos)
 SELECT x.vec_id AS pid, b.label AS box, round(sqrt(sum(power(greatest(x.v - b.hi, b.lo - x.v, 0), 2))), 4) AS near,
   round(sqrt(sum(power(greatest(b.hi - x.v, x.v - b.lo), 2))), 4) AS far
-FROM x JOIN b ON x.pos = b.pos GROUP BY x.vec_id, b.label""")
+FROM x JOIN b ON x.pos = b.pos AND b.label IN (x.label, (x.label + 1) % 10) GROUP BY x.vec_id, b.label""")
 def point_box_distances(spark, d):
+    """Distances of each point to the box of its own label and to that of the next."""
     p = _points(spark, d)
     boxes = A.vector_groups(p, ["label"]).select(F.col("label").alias("box"), "low", "high")
-    both = p.crossJoin(boxes)  # a stated set of boxes, one a label, against every point
+    both = p.withColumn("box", F.explode(F.array("label", (F.col("label") + 1) % 10))).join(boxes, "box")
     return both.select("pid", "box", F.round(S.box_min_distance("vec", "low", "high"), 4).alias("near"), F.round(S.box_max_distance("vec", "low", "high"), 4).alias("far"))
 
 

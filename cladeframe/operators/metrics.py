@@ -47,7 +47,7 @@ def b_cubed(cells: DataFrame, *by: str) -> DataFrame:
 
 
 def blanc(cells: DataFrame, *by: str) -> DataFrame:
-    """BLANC: means of the precision, recall and F1 of coreference links and of non-links; where one
+    """BLANC: means of the precision, recall and F1 of links and of non-links; where one
     kind is in neither side the other alone counts."""
     counts = pair_counts(cells, *by).withColumn("n", F.lit(0).cast("long"))
     sizes = cells.groupBy(*by).agg(F.sum("n").alias("n")).select(*by, *[F.lit(0).cast("long").alias(c) for c in ("tp", "fp", "gt")], "n")

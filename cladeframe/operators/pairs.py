@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..session import cut
+from ..session import cut, ship
 
 
 def canopy_pairs(df: DataFrame, *, canopy: str = "canopy", key: str = "mid") -> DataFrame:
@@ -61,6 +61,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, *, key: str = "pid", vec:
     pass of matrix products over the queries, and the best ``k`` of the blocks are then kept.
     """
     spark = queries.sparkSession
+    ship(spark)
     found = None
     for rows in _matrix_blocks(points, key, vec, other_than, block):
         ids = np.array([r[0] for r in rows])
@@ -175,6 +176,7 @@ def set_features(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def _by_blocks(points: DataFrame, run_with, schema: str, *, key: str, vec: str, label: str | None, block: int) -> DataFrame | None:
     """The union of ``run_with(block)`` passes over the points, one broadcast of bounded size each."""
     spark, found = points.sparkSession, None
+    ship(spark)
     for rows in _matrix_blocks(points, key, vec, label, block):
         rows.sort(key=lambda r: r[0])
         sent = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows]) if label else None))

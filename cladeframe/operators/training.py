@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import PAIR_MODELS, linear_score, pair_features
+from ..session import ship
 from .hac import _Roots
 from .linkage import PairScores
 from .trees import Tree
@@ -62,6 +63,7 @@ def merge_episodes(pairs: DataFrame, members: DataFrame, *, canopy: str = "canop
     """(canopy, my_pw, child_min, child_max, precision): every candidate merge that exact clustering of
     ``size`` mentions a canopy (least seeded hash) looks at, with its precision."""
     schema = "canopy string, my_pw double, child_min double, child_max double, precision double"
+    ship(pairs.sparkSession)
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("h", kind="stable").head(size).sort_values("pid", kind="stable")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, ship
 
 
 def closure(tree: DataFrame) -> DataFrame:
@@ -210,6 +210,8 @@ def best_partition(pdf: pd.DataFrame, worth=None) -> tuple[dict[int, int], float
 
 def best_f1_cut(tree: DataFrame, by: str = "canopy") -> DataFrame:
     """(tree, leaf, cluster, best_f1) for each tree of a table."""
+    ship(tree.sparkSession)
+
     def run(key, pdf):
         got, f1 = best_partition(pdf)
         return pd.DataFrame([(key[0], a, b, f1) for a, b in sorted(got.items())], columns=["tree", "leaf", "cluster", "best_f1"])
@@ -220,6 +222,8 @@ def best_f1_cut(tree: DataFrame, by: str = "canopy") -> DataFrame:
 def predicted_cut(tree: DataFrame, by: str = "canopy") -> DataFrame:
     """The partition that the scores themselves prefer: a node is whole where its score exceeds the
     sum of its children's."""
+    ship(tree.sparkSession)
+
     def run(key, pdf):
         score = {int(n): (0.0 if pd.isna(s) else float(s)) for n, s in zip(pdf["node"], pdf["score"])}
         got, f1 = best_partition(pdf, score.get)

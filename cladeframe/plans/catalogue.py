@@ -557,18 +557,18 @@ def greedy_tree(spark, d):
 
 
 @query()
-def perch_tree(spark, d):
-    return online.cluster(_canopied(spark, d), scheme="perch")
+def rotate_tree(spark, d):
+    return online.cluster(_canopied(spark, d), scheme="rotate")
 
 
 @query()
-def grinch_tree(spark, d):
-    return online.cluster(_canopied(spark, d), scheme="grinch")
+def graft_tree(spark, d):
+    return online.cluster(_canopied(spark, d), scheme="graft")
 
 
 @query()
-def grinch_cosine_tree(spark, d):
-    return online.cluster(_canopied(spark, d), scheme="grinch", linkage="cosine_average", fast_graft=True, beam=5)
+def graft_cosine_tree(spark, d):
+    return online.cluster(_canopied(spark, d), scheme="graft", linkage="cosine_average", fast_graft=True, beam=5)
 
 
 @query()

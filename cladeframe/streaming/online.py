@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.linkage import LINKAGES
 from ..operators.online import SCHEMES, BoxTree, OnlineTree
-from ..operators.trees_sql import best_partition  # noqa: F401  (used by callers on emitted trees)
+from ..session import ship
 
 OUT = "canopy string, pid string, cluster long, n_leaves long"
 
@@ -37,9 +37,10 @@ def _cluster_of(made, leaf: int, threshold: float) -> int:
     return at
 
 
-def cluster_stream(points: DataFrame, *, scheme: str = "grinch", linkage: str = "centroid", threshold: float = -1.0, order: str = "pos", **options) -> DataFrame:
+def cluster_stream(points: DataFrame, *, scheme: str = "graft", linkage: str = "centroid", threshold: float = -1.0, order: str = "pos", **options) -> DataFrame:
     """A stream of (canopy, pid, label, vec, order) becomes a stream of (canopy, pid, cluster,
     n_leaves): each new point's cluster node at the time of its insertion."""
+    ship(points.sparkSession)
 
     def insert(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         made = pickle.loads(state.get[0]) if state.exists else _new(scheme, linkage, options)

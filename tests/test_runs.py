@@ -28,7 +28,7 @@ def test_canopies_do_not_mix(spark, blobs):
 
 def test_batch_and_stream_build_the_same_tree(spark, blobs, tmp_path):
     blobs.repartition(1).sortWithinPartitions("pos").write.parquet(f"file://{tmp_path}/in")
-    stream = cluster_stream(spark.readStream.schema(blobs.schema).parquet(f"file://{tmp_path}/in"), scheme="grinch", threshold=-1.0)
+    stream = cluster_stream(spark.readStream.schema(blobs.schema).parquet(f"file://{tmp_path}/in"), scheme="graft", threshold=-1.0)
     q = stream.writeStream.format("memory").queryName("grown").option("checkpointLocation", f"file://{tmp_path}/cp").start()
     try:
         q.processAllAvailable()
@@ -40,7 +40,7 @@ def test_batch_and_stream_build_the_same_tree(spark, blobs, tmp_path):
     made = online.OnlineTree(online.LINKAGES["centroid"]())
     for r in rows:
         made.insert(np.array(r.vec), r.pid, r.label)
-    batch = online.cluster(blobs, scheme="grinch", order="pos").where("canopy = 'a'").toPandas()
+    batch = online.cluster(blobs, scheme="graft", order="pos").where("canopy = 'a'").toPandas()
     clean = lambda df: df.sort_values("node")["parent"].astype(float).fillna(-1).tolist()
     assert clean(made.tree.rows()) == clean(batch)
     last = got[got["canopy"] == "a"].set_index("pid")["cluster"]

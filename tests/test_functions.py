@@ -49,7 +49,7 @@ def test_name_features(spark, a, b, want):
     assert one(spark, **X.name_features(attrs(**a), attrs(**b))) == pytest.approx(want)
 
 
-def test_pair_models_have_their_widths():
+def test_pair_models_have_their_widths(spark):
     widths = {m: len(X.pair_features(m)) for m in X.PAIR_MODELS}
     assert widths["base"] == 15 and widths["pubmed"] == 16 and widths["name"] == 8 and widths["mesh"] == 1
 

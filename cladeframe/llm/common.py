@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, ship  # noqa: F401  (ship is for the operators)
+
 #: Entries that a per-worker memo may hold before it is emptied; bounds a Python worker's memory.
 MEMO_ENTRIES = 600_000
 
@@ -20,41 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors once per context, so that they need no copy of it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_cladeframe_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(root):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    path = os.path.join(tempfile.mkdtemp(prefix="cladeframe-"), "cladeframe_code.zip")
-    with open(path, "wb") as f:
-        f.write(out.getvalue())
-    sc.addPyFile(path)
-    sc._cladeframe_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    have = sc._jsc.sc().getCheckpointDir()
-    if have.isDefined():
-        return have.get().rstrip("/")
-    own = getattr(sc, "_cladeframe_shared", None)
-    if own is None:
-        own = sc._cladeframe_shared = "file://" + tempfile.mkdtemp(prefix="cladeframe-shared-")
-    return own
-
-
 def written(df: DataFrame, tag: str, **options) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -84,8 +47,3 @@ def sampled(df: DataFrame, n: int, bound: int, *key: str) -> DataFrame:
         return df
     h = F.pmod(F.xxhash64(*key, F.lit(17)), F.lit(1 << 30))
     return df.where(h < F.lit(int(bound / n * (1 << 30))))
-
-
-def by_id(spark: SparkSession, n_bytes: int, per: int) -> int:
-    """How many partitions give about ``per`` bytes each; grows with the input, at least 1."""
-    return max(1, -(-n_bytes // per))

@@ -1,12 +1,13 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of single words and of word pairs are taken over all training texts, as hashed rows that are
-summed before and after one shuffle.  A count c has level 1 + floor(log2 c); the filter holds
+Counts of single words and of word pairs are taken over all training texts, as packed hashes that
+are summed before and after one shuffle.  A count c has level 1 + floor(log2 c); the filter holds
 (n-gram, j) for each j up to the level, so that probing j = 1, 2, ... until one is absent reads the
-level back.  The filter is built in segments on the executors, joined on the driver and broadcast;
-its size is bounded by ``max_bytes``: where all n-grams would not fit, those of the lowest levels
-stay out (of pairs first), by a histogram over all of them.  The probability of a word is its pair
-estimate interpolated with the add-one estimate of the word alone, both from probed counts.
+level back.  Every n-gram of every count is in.  The filter grows with the data: its number of
+segments follows the tokens, a segment is built in one task and sized by its own entries, and whole
+segments are packed into parts of at most ``max_bytes``.  Each part is broadcast by itself and a
+task holds one at a time, adding up the levels that the parts know.  The probability of a word is
+its pair estimate interpolated with the add-one estimate of the word alone, both from probed counts.
 
 The add-one base score is exact: the ``hot`` most frequent words (a bounded table) are looked up in
 a broadcast, the other words of each text by a join with the whole count table.
@@ -35,7 +36,10 @@ from .common import MEMO_ENTRIES, drop_written, ship, written
 END = b" "
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 HASHES = 4
+BITS_PER_ENTRY = 10
 PIECE = 2_000_000
+#: The most that a segment takes, which bounds what the task that builds it holds.
+SEGMENT_BYTES = 5 << 20
 
 
 class _Ids(dict):
@@ -82,15 +86,43 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(h, c): hashed word pairs (a text starts after its own end token) over all texts."""
+PACKED = "s int, h binary, n binary"
+
+
+def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
+    return ((h >> np.uint64(1)) % np.uint64(segments)).astype(np.int64)
+
+
+def _pack(h: np.ndarray, n: np.ndarray, segments: int) -> pa.RecordBatch:
+    """One row a segment: its hashes and their counts, as arrays of 64-bit numbers."""
+    s = segment_of(h, segments)
+    by = np.argsort(s, kind="stable")
+    h, n, s = h[by], n[by].astype(np.int64), s[by]
+    at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
+    ends = [*at[1:].tolist(), len(s)]
+    cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(at.tolist(), ends)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(s[at].astype(np.int32)), cut(h), cut(n)], ["s", "h", "n"])
+
+
+def packed_words(words: DataFrame, segments: int) -> DataFrame:
+    """PACKED rows of (word, c)."""
+    def run(batches):
+        for b in batches:
+            h = np.array([xxhash.xxh3_64_intdigest(w) for w in b.column(0).to_pylist()], np.uint64)
+            yield _pack(h, b.column(1).to_numpy(zero_copy_only=False), segments)
+
+    return words.select("word", F.col("c").cast("long")).mapInArrow(run, PACKED)
+
+
+def packed_pairs(docs: DataFrame, segments: int, text: str = "text") -> DataFrame:
+    """PACKED rows of the word pairs (a text starts after its own end token) of all texts, summed a piece."""
     def run(batches):
         memo, held, n = _Ids(), [], 0
 
         def out():
-            h, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            got = _pack(*np.unique(np.concatenate(held), return_counts=True), segments)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int32))], ["h", "n"])
+            return got
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
@@ -100,23 +132,21 @@ def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 if n > PIECE:
                     yield out()
                     n = 0
-        yield out()
+        if held:
+            yield out()
 
-    return docs.select(text).mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("c"))
+    return docs.select(text).mapInArrow(run, PACKED)
 
 
-def level(c) -> F.Column:
-    return (F.floor(F.log2(c.cast("double")) + F.lit(1e-9)) + 1).cast("int")
+class Part:
+    """Some segments of the log-frequency Bloom filter: ``start`` (bytes, -1 where a segment is not in)
+    and ``seg_bits`` by segment."""
 
-
-class Filter:
-    """The log-frequency Bloom filter: ``segments`` x ``seg_bits`` bits."""
-
-    def __init__(self, bits: np.ndarray, segments: int, seg_bits: int):
-        self.bits, self.segments, self.seg_bits = bits, np.uint64(segments), np.uint64(seg_bits)
+    def __init__(self, bits: np.ndarray, start: np.ndarray, seg_bits: np.ndarray):
+        self.bits, self.start, self.seg_bits = bits, start, seg_bits
 
     @staticmethod
-    def spots(h: np.ndarray, j: int, seg_bits: np.uint64):
+    def spots(h: np.ndarray, j: int, seg_bits):
         """Bit positions inside a segment of (h, j), one array a hash function."""
         x = (h ^ np.uint64(j * int(_M2) & (1 << 64) - 1)) * _M1
         x ^= x >> np.uint64(32)
@@ -125,107 +155,155 @@ class Filter:
             yield (x + np.uint64(i) * (y >> np.uint64(7))) % seg_bits
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        """Level of each hash, 0 where it is absent."""
-        out, live, j = np.zeros(len(h), np.int64), np.arange(len(h)), 1
-        while len(live):
-            x = h[live]
-            base = ((x >> np.uint64(1)) % self.segments) * self.seg_bits
+        """Level of each hash, 0 where it is absent or of another part's segments."""
+        out = np.zeros(len(h), np.int64)
+        s = segment_of(h, len(self.start))
+        live = np.flatnonzero(self.start[s] >= 0)
+        base, size = self.start[s].astype(np.uint64) * np.uint64(8), self.seg_bits[s]
+        j = 1
+        while len(live) and j <= 64:
             ok = np.ones(len(live), bool)
-            for s in self.spots(x, j, self.seg_bits):
-                at = base + s
+            for at in self.spots(h[live], j, size[live]):
+                at = base[live] + at
                 ok &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
             live = live[ok]
             out[live] = j
             j += 1
-            if j > 64:
-                break
         return out
 
 
+class Filter:
+    """All parts at once, for tables that one process may hold."""
+
+    def __init__(self, parts: list[Part]):
+        self.parts = parts
+
+    @property
+    def bits(self) -> np.ndarray:
+        """The bits of the largest part, which is what a scoring task holds at a time."""
+        return max((p.bits for p in self.parts), key=len, default=np.empty(0, np.uint8))
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        return sum((p.levels(h) for p in self.parts), np.zeros(len(h), np.int64))
+
+
 def counts_of(levels: np.ndarray) -> np.ndarray:
     """The count that a level stands for: the middle of its range (0 and 1 are exact)."""
     return np.where(levels == 0, 0.0, np.where(levels == 1, 1.0, 0.75 * 2.0**levels))
 
 
-def build_filter(words: DataFrame, pairs: DataFrame, *, max_bytes: int, bits_per_entry: int = 10, min_pair: int = 2) -> Filter:
-    """Words of any count and pairs of at least ``min_pair``, as far as they fit ``max_bytes``."""
-    spark = words.sparkSession
+def segments_for(entries: int, max_bytes: int) -> int:
+    """Segments such that one, of the levels of ``entries`` at most, is a small share of a part."""
+    return max(1, -(-entries * BITS_PER_ENTRY // 8 // min(SEGMENT_BYTES, max(1, max_bytes // 2))))
+
+
+def build_parts(packed: DataFrame, segments: int, max_bytes: int):
+    """The filter of all PACKED rows, counts of one hash summed, part by part."""
+    def fill(key, table):
+        h = np.frombuffer(b"".join(table["h"].to_pylist()), np.uint64)
+        n = np.frombuffer(b"".join(table["n"].to_pylist()), np.int64)
+        by = np.argsort(h, kind="stable")
+        h, n = h[by], n[by]
+        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        h, top = h[at], np.frexp(np.add.reduceat(n, at).astype(float))[1]
+        seg_bits = (int(top.sum()) * BITS_PER_ENTRY // 64 + 1) * 64
+        bits = np.zeros(seg_bits, bool)
+        for j in range(1, int(top.max()) + 1):
+            for spot in Part.spots(h[top >= j], j, np.uint64(seg_bits)):
+                bits[spot.astype(np.int64)] = True
+        raw = np.packbits(bits, bitorder="little").tobytes()
+        return pa.table({"s": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([raw], pa.binary())})
+
+    made = written(packed.groupBy("s").applyInArrow(fill, "s int, bits binary"), "bloom-segments")
+
+    def joined(held):
+        start, seg_bits = np.full(segments, -1, np.int64), np.ones(segments, np.uint64)
+        at = 0
+        for s, raw in held:
+            start[s], seg_bits[s] = at, len(raw) * 8
+            at += len(raw)
+        return Part(np.frombuffer(b"".join(raw for _, raw in held), np.uint8), start, seg_bits)
+
+    held, size = [], 0
+    for s, raw in made.toLocalIterator():
+        if held and size + len(raw) > max_bytes:
+            yield joined(held)
+            held, size = [], 0
+        held.append((s, bytes(raw)))
+        size += len(raw)
+    if held:
+        yield joined(held)
+    drop_written(made)
+
+
+def build_filter(words: DataFrame, pairs: DataFrame, *, max_bytes: int) -> Filter:
+    """The filter of (word, c) and (h, c): all of them, in parts of ``max_bytes``."""
+    level = F.floor(F.log2(F.col("c").cast("double"))) + 1
+    entries = sum(int(x.agg(F.sum(level)).first()[0] or 0) for x in (words, pairs))
+    segments = segments_for(entries, max_bytes)
 
-    def hashed(batches):
-        for b in batches:
-            h = np.array([xxhash.xxh3_64_intdigest(w) for w in b.column(0).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(1)], ["h", "c"])
-
-    singles = words.mapInArrow(hashed, "h long, c long").select("h", level(F.col("c")).alias("q"), F.lit(False).alias("pair"))
-    rows = singles.union(pairs.where(F.col("c") >= min_pair).select("h", level(F.col("c")).alias("q"), F.lit(True).alias("pair")))
-    rows = written(rows, "bloom-entries")
-    hist = {(r[0], r[1]): r[2] for r in rows.groupBy("pair", "q").count().collect()}
-    cut = {False: 1, True: 1}
-    size = lambda: sum(n * q for (p, q), n in hist.items() if q >= cut[p]) * bits_per_entry // 8
-    while size() > max_bytes:
-        cut[cut[True] <= cut[False] + 2] += 1
-    total_bits = max(1 << 12, size() * 8)
-    segments = max(1, -(-total_bits // (8 << 22)))
-    seg_bits = (total_bits // segments // 64 + 1) * 64
-
-    def fill(batches):
-        segs: dict[int, np.ndarray] = {}
+    def run(batches):
         for b in batches:
-            h, q = np.asarray(b.column(0)).view(np.uint64), np.asarray(b.column(1))
-            where = ((h >> np.uint64(1)) % np.uint64(segments)).astype(np.int64)
-            for s in np.unique(where):
-                bits = segs.setdefault(int(s), np.zeros(seg_bits // 8, np.uint8))
-                x, top = h[where == s], q[where == s]
-                for j in range(1, int(top.max()) + 1):
-                    for at in Filter.spots(x[top >= j], j, np.uint64(seg_bits)):
-                        np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
-        for s, bits in segs.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["s", "bits"])
-
-    keep = rows.where(F.when(F.col("pair"), F.col("q") >= cut[True]).otherwise(F.col("q") >= cut[False]))
-    part = (F.shiftrightunsigned("h", 1) % F.lit(segments)).cast("int")
-    keep = keep.select("h", "q", part.alias("part")).repartition("part").select("h", "q")
-    bits = np.zeros(segments * seg_bits // 8, np.uint8)
-    for s, data in keep.mapInArrow(fill, "s int, bits binary").toLocalIterator():
-        at = s * (seg_bits // 8)
-        bits[at : at + seg_bits // 8] |= np.frombuffer(data, np.uint8)
-    drop_written(rows)
-    return Filter(bits, segments, seg_bits)
-
-
-def score(docs: DataFrame, training: DataFrame, *, doc_id: str = "doc_id", text: str = "text", hot: int = 200_000, max_bytes: int = 256 << 20, mix: float = 0.6) -> DataFrame:
+            yield _pack(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False), segments)
+
+    rows = packed_words(words, segments).union(pairs.select("h", F.col("c").cast("long")).mapInArrow(run, PACKED))
+    return Filter(list(build_parts(rows, segments, max_bytes)))
+
+
+def _opened(sent):
+    """A broadcast's value, which the worker does not keep."""
+    value = sent.value
+    if getattr(sent, "_path", None):
+        vars(sent).pop("_value", None)
+    return value
+
+
+def score(docs: DataFrame, training: DataFrame, *, doc_id: str = "doc_id", text: str = "text", hot: int = 200_000, max_bytes: int = 64 << 20, mix: float = 0.6) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     spark = docs.sparkSession
     ship(spark)
     words = written(word_counts(training, text), "bloom-words")
     n_total, n_words = (int(x or 0) for x in words.agg(F.sum("c"), F.count("*")).first())
     n_texts = (words.where(F.col("word") == F.lit(END)).select("c").first() or [0])[0]
-    flt = build_filter(words, pair_counts(training, text), max_bytes=max_bytes)
+    # A count has no more levels than occurrences.
+    segments = segments_for(2 * n_total, max_bytes)
+    entries = packed_words(words, segments).union(packed_pairs(training, segments, text))
+    parts = [spark.sparkContext.broadcast(p) for p in build_parts(entries, segments, max_bytes)]
     top = words.orderBy(F.desc("c"), "word").limit(hot).toArrow()
     table = dict(zip(top["word"].to_pylist(), np.log10(np.array(top["c"].to_pylist(), float) + 1).tolist()))
-    sent = spark.sparkContext.broadcast((flt.bits.tobytes(), int(flt.segments), int(flt.seg_bits), table))
+    sent = spark.sparkContext.broadcast(table)
+    # More parts are opened once for more tokens.
+    piece = min(PIECE, PIECE // 4 * max(1, len(parts)))
     denom, floor = n_total + n_words + 1, math.log10(n_total + n_words + 1)
 
     def run(batches):
-        raw, segments, seg_bits, known = sent.value
-        f = Filter(np.frombuffer(raw, np.uint8), segments, seg_bits)
+        known = sent.value
+        only = _opened(parts[0]) if len(parts) == 1 else None
         memo, at, part = _Ids(), 0, TaskContext.get().partitionId()
 
+        def levels(h: np.ndarray) -> np.ndarray:
+            if only is not None:
+                return only.levels(h)
+            got = np.zeros(len(h), np.int64)
+            for p in parts:
+                got += _opened(p).levels(h)
+            return got
+
         def model(texts: list[list[bytes]]) -> np.ndarray:
             """log10 probability of each text."""
             flat = _ids_of([w for t in texts for w in t], memo)
             ends = np.cumsum([len(t) for t in texts])
             starts = ends - np.array([len(t) for t in texts])
             uniq, back = np.unique(flat, return_inverse=True)
-            c = counts_of(f.levels(uniq))[back]
             left = np.empty_like(flat)
             left[1:] = flat[:-1]
             left[starts] = flat[ends - 1]
+            pu, pback = np.unique(pair_hash(left, flat), return_inverse=True)
+            got = counts_of(levels(np.concatenate([uniq, pu])))
+            c, pairs = got[: len(uniq)][back], got[len(uniq) :][pback]
             before = np.empty_like(c)
             before[1:] = c[:-1]
             before[starts] = n_texts
-            pu, pback = np.unique(pair_hash(left, flat), return_inverse=True)
-            pairs = counts_of(f.levels(pu))[pback]
             p1 = np.minimum(1.0, (c + 1) / denom)
             p2 = np.minimum(1.0, pairs / np.maximum(before, 1.0))
             p = np.where(before > 0, mix * p2 + (1 - mix) * p1, p1)
@@ -237,7 +315,7 @@ def score(docs: DataFrame, training: DataFrame, *, doc_id: str = "doc_id", text:
             while lo < len(ids):
                 hi, size = lo, 0
                 cut = []
-                while hi < len(ids) and size < PIECE // 4:
+                while hi < len(ids) and size < piece:
                     cut.append(tokens(texts[hi]))
                     size += len(cut[-1])
                     hi += 1

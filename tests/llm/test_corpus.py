@@ -248,6 +248,25 @@ def test_filter_never_loses_a_level_and_respects_its_bound(spark):
     assert small.bits.nbytes <= 3100
 
 
+def test_filter_holds_all_ngrams_in_small_parts(spark):
+    import xxhash
+
+    words = spark.createDataFrame([(f"w{i}".encode(), i % 9 + 1) for i in range(3000)], "word binary, c long")
+    pairs = spark.createDataFrame([(i * 7919 + 5, i % 3 + 1) for i in range(5000)], "h long, c long")
+    f = bloomlm.build_filter(words, pairs, max_bytes=3000)
+    h = np.array([xxhash.xxh3_64_intdigest(f"w{i}".encode()) for i in range(3000)] + [i * 7919 + 5 for i in range(5000)], np.uint64)
+    want = np.array([int(math.log2(i % 9 + 1)) + 1 for i in range(3000)] + [int(math.log2(i % 3 + 1)) + 1 for i in range(5000)])
+    got = f.levels(h)
+    assert (got >= want).all() and (got == want).mean() > 0.95
+
+
+def test_scores_do_not_depend_on_the_size_of_a_part(spark):
+    rng = random.Random(8)
+    df = frame(spark, [(k, prose(rng, 60, "abcd")) for k in range(150)])
+    one, many = ({r.doc_id: r.score for r in bloomlm.score(df, df.where("doc_id % 3 > 0"), max_bytes=m).collect()} for m in (64 << 20, 2000))
+    assert len(one) == 150 and all(abs(one[i] - many[i]) < 0.15 * abs(one[i]) for i in one)
+
+
 # 1 -------------------------------------------------------------------------------------------------
 
 

@@ -260,6 +260,23 @@ def test_filter_holds_all_ngrams_in_small_parts(spark):
     assert (got >= want).all() and (got == want).mean() > 0.95
 
 
+def test_single_pairs_are_in_the_filter(spark):
+    import xxhash
+
+    rng = random.Random(12)
+    texts = [prose(rng, 50, "abcd") for _ in range(60)] + [None, ""]
+    count = collections.Counter()
+    for t in texts:
+        w = [x.encode() for x in (t or "").split()] + [bloomlm.END]
+        count.update(zip([w[-1], *w[:-1]], w))
+    id_ = lambda x: np.array([xxhash.xxh3_64_intdigest(w) for w in x], np.uint64)
+    h = bloomlm.pair_hash(id_([a for a, _ in count]), id_([b for _, b in count]))
+    want = np.array([int(math.log2(c)) + 1 for c in count.values()])
+    rows = bloomlm.packed_pairs(frame(spark, list(enumerate(texts))), 7)
+    got = bloomlm.Filter(list(bloomlm.build_parts(rows, 7, 2000))).levels(h)
+    assert (want == 1).sum() > 500 and (got >= want).all() and (got == want).mean() > 0.95
+
+
 def test_scores_do_not_depend_on_the_size_of_a_part(spark):
     rng = random.Random(8)
     df = frame(spark, [(k, prose(rng, 60, "abcd")) for k in range(150)])

@@ -1,8 +1,8 @@
 """N-gram Jaccard join by MinHash banding.
 
 A document is the set of its runs of ``n`` lower-cased words (all of them as one run where it has
-fewer).  Documents with equal sets form one class, whose representative has the least id; only
-representatives are joined.  Bands and rows are chosen so that a pair at the threshold is found
+fewer).  Documents with equal sets form one class; classes are numbered by a hash of their set and
+only one document of each is joined, so neither repeated nor null ids run texts together.  Bands and rows are chosen so that a pair at the threshold is found
 with probability ``recall``; band hashes are shuffled, and every pair of a bucket is verified on the
 full sets in the task of the first band that the two share, so each pair is counted once and no
 pair is ever written out.  A large bucket is split into blocks, and a task gets two blocks at most.
@@ -10,9 +10,10 @@ Tasks return link counts and a spanning forest of the links, from which connecte
 repeated minima with pointer jumping, checkpointed in the shared folder.
 
 Defined results: a text without words (null, empty) is in a class and group of its own with no
-links; equal sets are one class, so copies share a class and a group; a null id is kept, as the
-least of all ids; repeated rows come back once each; other columns are not read (join) or are kept
-as they are (``keep_one``).
+links; equal sets are one class, so copies share a class and a group; null ids are linked as others
+are, and give a class or group its id only where it has no other; different texts under one id are
+different rows, each in its own group; repeated rows come back once each (join).  Other columns are
+not read (join) or are kept as they are (``keep_one``), where a null id is the least of all ids.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import MEMO_ENTRIES, drop_written, ship, written
@@ -87,7 +88,8 @@ def band_hashes(s: np.ndarray, bands: int, rows: int, a: np.ndarray) -> np.ndarr
 
 
 def signatures(docs: DataFrame, spec: Bands, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, key, bands): key is a digest of the set, null (as the bands are) without words."""
+    """(doc_id, key, bands, th): key is a digest of the set, null (as the bands are) without words; th
+    is a hash of the text, which names a row together with its id."""
     bands, rows = spec.shape()
     a = np.random.default_rng(20240229).integers(1, 1 << 63, bands * rows, dtype=np.uint64)
 
@@ -106,9 +108,9 @@ def signatures(docs: DataFrame, spec: Bands, doc_id: str, text: str) -> DataFram
                     last[k] = band_hashes(s, bands, rows, a).astype(np.int64)
                 keys.append(k)
                 sig.append(last[k])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sig, pa.list_(pa.int64())), batch.column(2)], ["doc_id", "key", "bands", "th"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, key binary, bands array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text), F.xxhash64(text).alias("th")).mapInArrow(run, "doc_id long, key binary, bands array<long>, th long")
 
 
 def _verify(task_rows: list[tuple], threshold: float) -> tuple[list[int], list[int], list[int]]:
@@ -172,17 +174,17 @@ def _verify(task_rows: list[tuple], threshold: float) -> tuple[list[int], list[i
 
 
 def links(sig: DataFrame, docs: DataFrame, spec: Bands, doc_id: str, text: str, block: int = 512) -> DataFrame:
-    """(rep, n, root): per task and representative, its verified links and the root of its tree."""
+    """(rep, n, root): per task and class (the hash of its key), its verified links and the root of its tree."""
     n_bands, _ = spec.shape()
-    reps = sig.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    reps = reps.where(F.col("rep").isNotNull())
-    rows = reps.select("key", "rep", "bands", F.posexplode("bands").alias("band", "h"))
+    reps = sig.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "th")).alias("at"), F.first("bands").alias("bands"))
+    rows = reps.select("key", F.xxhash64("key").alias("rep"), "at", "bands", F.posexplode("bands").alias("band", "h"))
     buckets = rows.select("band", "h", "rep").groupBy("band", "h").agg(F.count("*").alias("m"), F.sum(F.xxhash64("rep") % F.lit(1 << 40)).alias("sum"), F.sum(F.xxhash64("rep", F.lit(3)) % F.lit(1 << 40)).alias("sum2"))
     # Of buckets with the same members the one of the first band is enough.
     kept = buckets.where("m > 1").groupBy("m", "sum", "sum2").agg(F.min(F.struct("band", "h")).alias("b")).select("m", "b.*")
     members = written(rows.join(kept, ["band", "h"]), "minhash-members")
-    wanted = members.select("key", "rep").distinct()
-    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("t"))
+    wanted = members.select("key", "at.*").distinct()
+    number = F.col(doc_id).cast("long")
+    texts = docs.select(number.isNull().alias("none"), F.coalesce(number, F.lit(0)).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
 
     def full(batches):
         memo = _Words()
@@ -195,7 +197,7 @@ def links(sig: DataFrame, docs: DataFrame, spec: Bands, doc_id: str, text: str,
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(out, pa.binary())], ["key", "s"])
 
-    sets = wanted.join(texts, "rep").select("key", "t").mapInArrow(full, "key binary, s binary").dropDuplicates(["key"])
+    sets = wanted.join(texts, ["none", "id", "th"]).select("key", "t").mapInArrow(full, "key binary, s binary").dropDuplicates(["key"])
     blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
     mine = F.pmod(F.xxhash64("rep", F.lit(9)), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("mine"), j).alias("i"), F.greatest(F.col("mine"), j).alias("j")))
@@ -246,30 +248,48 @@ def components(edges: DataFrame) -> DataFrame:
             return label.select("id", F.col("g").alias("group"))
 
 
+def _groups(sig: DataFrame, docs: DataFrame, spec: Bands, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(rep, n_links) and (rep, group) of the classes that have links; the group is one of its classes."""
+    found = links(sig, docs, spec, doc_id, text)
+    n = found.groupBy("rep").agg(F.sum("n").alias("n_links"))
+    return n, components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
+
+
 def jaccard_join(docs: DataFrame, spec: Bands = Bands(), *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, copy_id (representative of its class of equal sets), class_id
+    """One row per document: doc_id, copy_id (least id of its class of equal sets), class_id
     (least id of the documents connected to it by links or copies), n_links (different texts whose
     similarity to its own is at least the threshold) and n_copies (documents of its class)."""
     ship(docs.sparkSession)
     sig = written(signatures(docs, spec, doc_id, text), "minhash-signatures")
-    found = links(sig, docs, spec, doc_id, text)
-    n = found.groupBy("rep").agg(F.sum("n").alias("n_links"))
-    group = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    n, group = _groups(sig, docs, spec, doc_id, text)
     classes = sig.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"))
-    classes = classes.join(n, classes.copy_id == n.rep, "left").join(group, classes.copy_id == group.id, "left")
-    classes = classes.select("key", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group", "copy_id").alias("class_id"))
+    classes = classes.withColumn("rep", F.xxhash64("key"))
+    least = group.join(classes.select("rep", "copy_id"), "rep").groupBy("group").agg(F.min("copy_id").alias("class_id"))
+    classes = classes.join(n, "rep", "left").join(group.join(least, "group").select("rep", "class_id"), "rep", "left")
+    classes = classes.select("key", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "copy_id").alias("class_id"))
     out = sig.select("doc_id", "key").join(classes, "key", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
 def keep_one(docs: DataFrame, spec: Bands = Bands(), *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns kept, that are the first (least id) of their group; of rows that
-    share that id one stays.  Texts without words all stay."""
-    groups = jaccard_join(docs, spec, doc_id=doc_id, text=text)
-    best = groups.groupBy("doc_id").agg(F.min("class_id").alias("c"), F.count("*").alias("n_rows"))
-    stay = best.where((F.col("c") == F.col("doc_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("stay_id"), "n_rows")
-    kept = docs.join(stay, docs[doc_id].cast("long").eqNullSafe(stay["stay_id"]), "inner")
-    cols = [docs[c] for c in docs.columns]
-    once, more = kept.where(stay["n_rows"] == 1).select(*cols), kept.where(stay["n_rows"] > 1).select(*cols)
-    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return once.union(more.where(~wordless).dropDuplicates([doc_id])).union(more.where(wordless))
+    """The documents, all columns kept, that are the first row of their group by id and text digest;
+    rows are told apart by id and text.  Texts without words all stay."""
+    ship(docs.sparkSession)
+    sig = written(signatures(docs, spec, doc_id, text), "minhash-signatures")
+    _, group = _groups(sig, docs, spec, doc_id, text)
+    # The first row of a class, and how often the same id and text stand in it.
+    rows = sig.where(F.col("key").isNotNull()).groupBy("key", "doc_id", "th").agg(F.count("*").alias("n"))
+    first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "key", "th", "n")).alias("at")).select(F.xxhash64("key").alias("rep"), "at")
+    first = first.join(group, "rep", "left").groupBy(F.coalesce("group", "rep").alias("group")).agg(F.min("at").alias("at"))
+    wordless = sig.where(F.col("key").isNull()).select("doc_id", "th").distinct()
+    stay = first.select("at.doc_id", "at.th", "at.n").union(wordless.select("doc_id", "th", F.lit(1).cast("long")))
+    none, number = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0))
+    stay = written(stay.select(none.alias("_keep_none"), number.alias("_keep_id"), F.col("th").alias("_keep_th"), "n"), "minhash-stay")
+    again = stay.where("n > 1").limit(1).count() > 0
+    number = F.col(doc_id).cast("long")
+    named = docs.select("*", number.isNull().alias("_keep_none"), F.coalesce(number, F.lit(0)).alias("_keep_id"), F.xxhash64(text).alias("_keep_th"))
+    kept = named.join(stay.drop("n"), ["_keep_none", "_keep_id", "_keep_th"], "left_semi")
+    if again:
+        has_words = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        kept = kept.withColumn("_keep_row", F.row_number().over(Window.partitionBy("_keep_none", "_keep_id", "_keep_th").orderBy("_keep_th"))).where((F.col("_keep_row") == 1) | ~has_words)
+    return kept.select(*docs.columns)

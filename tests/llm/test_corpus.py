@@ -460,6 +460,19 @@ def test_jaccard_join_equals_all_pairs(spark, odd, block, monkeypatch):
     assert minhash.jaccard_join(empty(spark)).count() == 0 and minhash.keep_one(empty(spark)).count() == 0
 
 
+def test_keep_one_keeps_unrelated_rows_of_one_id(spark):
+    rng = random.Random(5)
+    a, b, c, d, e, f = (prose(rng, 80) for _ in range(6))
+    near = " ".join(c.split()[:-1] + ["other"])
+    rows = [(None, a), (None, b), (None, near), (None, c), (7, d), (7, e), (7, e), (3, e + " end"), (9, f), (9, f.replace(" ", "  ")), (9, ""), (9, ""), (None, None)]
+    kept = [(r.doc_id, r.text) for r in minhash.keep_one(frame(spark, rows)).collect()]
+    assert sorted(i for i, t in kept if i is not None) == [3, 7, 9, 9, 9] and kept.count((9, "")) == 2
+    assert {(None, a), (None, b), (7, d), (3, e + " end"), (None, None)} <= set(kept)
+    assert ((None, c) in kept) + ((None, near) in kept) == 1 and len(kept) == 9
+    alone = [(r.doc_id, r.text) for r in minhash.keep_one(frame(spark, [(4, a), (4, a), (4, a), (4, b)])).collect()]
+    assert sorted(alone) == sorted([(4, a), (4, b)])
+
+
 def test_bands_reach_the_recall():
     b, r = minhash.Bands().shape()
     assert b * r <= 128 and 1 - (1 - 0.8**r) ** b >= 0.9995

@@ -1,6 +1,8 @@
 """Licence scans: a paragraph classifier whose predictions are confirmed against templates.
 
-Paragraphs are the lines of a text.  A sparse multinomial logistic model (FTRL, elastic net) on
+Paragraphs are the lines of a text, and beside them the runs of neighbouring lines that a wrapped
+notice may fill: from a line made of a notice's word pairs on, up to a blank line or twice the
+longest notice.  A confirmed run counts as one paragraph predicted and confirmed.  A sparse multinomial logistic model (FTRL, elastic net) on
 word unigrams and bigrams tells licence families from one another and from ``unknown``; it is
 trained on the notices below, whole and with words left out, against a bounded sample of corpus
 paragraphs, and calibrated by temperature on held-back rows.  A paragraph predicted as a family is
@@ -160,11 +162,32 @@ OUT = "doc_id long, n_paragraphs long, n_predicted long, n_confirmed long, famil
 
 def scan_text(text: str | None, model: Model, seen: dict, limit: float = 0.5, share: float = 0.6) -> tuple:
     """The columns of OUT after the id."""
-    lines = [x for x in text.split("\n") if x.strip()] if text else []
-    predicted, best, found = 0, (0.0, None), set()
-    confirmed = 0
-    for p in lines:
-        w = words(p)
+    lines = [words(x) if x.strip() else None for x in text.split("\n")] if text else []
+    best, found = (0.0, None), set()
+    states, starts = [0] * len(lines), []
+
+    def judged(w: list[str]) -> int:
+        """0 unknown, 1 predicted, 2 confirmed."""
+        nonlocal best
+        k, p_k = model.predict(w)
+        if k == len(FAMILIES) or p_k < limit:
+            return 0
+        family, much = template_match(w)
+        if much < share or family != k:
+            return 1
+        found.add(FAMILIES[k])
+        if p_k > best[0]:
+            best = p_k, FAMILIES[k]
+        return 2
+
+    for i, w in enumerate(lines):
+        if w is None:
+            continue
+        after = lines[i + 1] if i + 1 < len(lines) else None
+        if after is not None:
+            pairs = list(zip(w, [*w[1:], *after[:1]]))
+            if pairs and 2 * sum(x in _PAIRS for x in pairs) >= len(pairs):
+                starts.append(i)
         if model.telling is not None:
             for x in w:
                 ok = seen.get(x)
@@ -177,19 +200,30 @@ def scan_text(text: str | None, model: Model, seen: dict, limit: float = 0.5, sh
             else:
                 if not any(bucket(f"{a} {b}") in model.telling for a, b in zip(w, w[1:]) if (a, b) in _PAIRS):
                     continue
-        k, p_k = model.predict(w)
-        if k == len(FAMILIES) or p_k < limit:
+        states[i] = judged(w)
+    done, wrapped = 0, 0
+    for i in starts:
+        if i < done or states[i] == 2:
             continue
-        predicted += 1
-        family, much = template_match(w)
-        if much >= share and family == k:
-            confirmed += 1
-            found.add(FAMILIES[k])
-            if p_k > best[0]:
-                best = p_k, FAMILIES[k]
-    return len(lines), predicted, confirmed, best[1], sorted(found), best[0]
-
-
+        run, j = list(lines[i]), i + 1
+        while j < len(lines) and lines[j] is not None and states[j] != 2 and len(run) <= 2 * _LONGEST:
+            run += lines[j]
+            j += 1
+            if template_match(run)[1] >= share and judged(run) == 2:
+                # The rest of the notice belongs to it.
+                much = template_match(run)[1]
+                while j < len(lines) and lines[j] is not None and states[j] != 2 and (more := template_match([*run, *lines[j]])[1]) > much:
+                    run, much, j = [*run, *lines[j]], more, j + 1
+                states[i:j] = [0] * (j - i)
+                wrapped += 1
+                done = j
+                break
+    confirmed = states.count(2) + wrapped
+    return sum(w is not None for w in lines), states.count(1) + confirmed, confirmed, best[1], sorted(found), best[0]
+
+
+#: Words of the longest notice.
+_LONGEST = max(len(words(t)) for f in FAMILIES for t in TEMPLATES[f])
 #: Word pairs of the notices.  A paragraph with no telling word and no telling pair among these is unknown.
 _PAIRS = {(a, b) for f in FAMILIES for t in TEMPLATES[f] for w in [words(t)] for a, b in zip(w, w[1:])}
 

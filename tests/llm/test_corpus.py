@@ -498,6 +498,22 @@ def test_licenses(spark, odd):
     assert licenses.scan(empty(spark), licenses.fit(empty(spark))).count() == 0
 
 
+@pytest.mark.parametrize("width, mark", [(72, ""), (72, " * "), (40, "# ")])
+def test_wrapped_notices_are_confirmed(spark, width, mark):
+    import textwrap
+
+    rng = random.Random(6)
+    df = frame(spark, [(i, "\n".join(prose(rng, 12) for _ in range(5))) for i in range(60)])
+    model = licenses.fit(df)
+    notices = [(f, n) for f, all_ in licenses.TEMPLATES.items() for n in all_ if len(n) > 72]
+    for f, n in notices:
+        lines = [mark + x for x in textwrap.wrap(n, width)]
+        got = licenses.scan_text("\n".join([prose(rng, 9), "", *lines, "", prose(rng, 9)]), model, {})
+        assert len(lines) > 1 and got[3:5] == (f, [f]) and got[0] == len(lines) + 2 and got[2] == 1
+    for r in df.collect():
+        assert licenses.scan_text(r.text, model, {})[3] is None
+
+
 # All -----------------------------------------------------------------------------------------------
 
 

@@ -514,6 +514,20 @@ def test_wrapped_notices_are_confirmed(spark, width, mark):
         assert licenses.scan_text(r.text, model, {})[3] is None
 
 
+def test_notices_of_further_families(spark):
+    rng = random.Random(7)
+    plain = [(i, "\n".join(prose(rng, 12) for _ in range(5))) for i in range(60)]
+    asked = {
+        "All rights reserved.": "proprietary", "Copyright 2020 Some Company. All rights reserved.": "proprietary", "SPDX-License-Identifier: ISC": "isc",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": "lgpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License": "agpl",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+    }
+    model = licenses.fit(frame(spark, plain + [(1000 + k, prose(rng, 9) + "\n" + n) for k, n in enumerate(asked)]))
+    assert {n: licenses.scan_text(prose(rng, 9) + "\n" + n, model, {})[3] for n in asked} == asked
+    assert licenses.scan_text("all of it\nthe rights of man\na table is reserved", model, {})[3] is None
+
+
 # All -----------------------------------------------------------------------------------------------
 
 

@@ -90,6 +90,8 @@ TEMPLATES = {
 FAMILIES = sorted(TEMPLATES)
 CLASSES = [*FAMILIES, "unknown"]
 BITS = 18
+#: Background lines of the classifier, about: a hash sample of all lines of the sampled documents.
+LINES = 3000
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -146,12 +148,13 @@ class Model:
 
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bound: int = 200, seed: int = 3) -> Model:
-    """Train on the notices and on paragraphs of about ``bound`` documents (at most 60 of each)."""
+    """Train on the notices and on about ``LINES`` different lines of about ``bound`` documents."""
     ship(docs.sparkSession)
     n = docs.count()
-    sample = sampled(docs.where(F.col(text).isNotNull()), n, bound, doc_id).select(F.slice(F.split(F.col(text), "\n"), 1, 60).alias("p")).collect()
+    lines = sampled(docs.where(F.col(text).isNotNull()), n, bound, doc_id).select(F.explode(F.split(F.col(text), "\n")).alias("p")).distinct()
+    sample = sampled(lines, lines.count(), LINES, "p").collect()
     rng = np.random.default_rng(seed)
-    plain = sorted({p for r in sample for p in r["p"] if p.strip()})
+    plain = sorted(r["p"] for r in sample if r["p"].strip())
     other = [w for p in plain if (w := words(p)) and template_match(w)[1] < 0.5]
     rng.shuffle(other)
     rows, y = [], []
@@ -171,7 +174,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bound: i
             for x in words(t):
                 rows.append(vector([x]))
                 y.append(len(FAMILIES))
-    for w in other[:3000]:
+    for w in other:
         rows.append(vector(w))
         y.append(len(FAMILIES))
     labels = np.array(y, np.int64)

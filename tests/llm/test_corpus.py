@@ -514,6 +514,15 @@ def test_wrapped_notices_are_confirmed(spark, width, mark):
         assert licenses.scan_text(r.text, model, {})[3] is None
 
 
+def test_late_lines_are_background(spark, monkeypatch):
+    rng = random.Random(9)
+    seen = set()
+    real = licenses.template_match
+    monkeypatch.setattr(licenses, "template_match", lambda w: seen.add(" ".join(w)) or real(w))
+    licenses.fit(frame(spark, [(i, "\n".join([prose(rng, 12) for _ in range(100)] + [f"late line {i}"])) for i in range(5)]))
+    assert {f"late line {i}" for i in range(5)} <= seen
+
+
 def test_notices_of_further_families(spark):
     rng = random.Random(7)
     plain = [(i, "\n".join(prose(rng, 12) for _ in range(5))) for i in range(60)]

@@ -8,7 +8,9 @@ time (one NumPy row per piece); long ones alone.
 
 Defined results: null and empty texts have no ids and decode to the empty string; the strings of
 added tokens in a text become their ids, as the vocabulary file says; bytes that no id can stand
-for do not occur, as every byte has an id; equal documents are encoded alike, each in its own row.
+for do not occur, as every byte has an id; of equal ranks the leftmost pair merges first; a very long
+text or piece is encoded whole; equal documents are encoded alike, each in its own row; empty tables
+give no rows; a null list of ids decodes to the empty string; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, ship
+from .common import ENTRY, MEMO_BYTES, ship
+from .words import slices, tidy
 
 NONE = np.int64(1 << 62)
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -228,8 +231,8 @@ class Vocabulary:
                 some = group[at : at + 4096]
                 memo.update(zip((p for p, _ in some), self.merge_rows([raw for _, raw in some], width)))
 
-    def encode_batch(self, texts: list[str | None], memo: dict) -> list[bytes]:
-        """Ids of each text as little-endian uint32 bytes."""
+    def encode_batch(self, texts: list[str | None], memo: "Memo") -> list[bytes]:
+        """Ids of each text as little-endian uint32 bytes; the memo is left within its bound."""
         cut = []
         for t in texts:
             if not t:
@@ -238,8 +241,6 @@ class Vocabulary:
                 cut.append(self.pieces.findall(t))
             else:
                 cut.append([p for s in self.special.split(t) for p in ([s] if s in self.added else self.pieces.findall(s))])
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
         if self.added and not memo:
             memo.update((s, np.uint32(i).tobytes()) for s, i in self.added.items())
         known = memo.__contains__
@@ -247,7 +248,9 @@ class Vocabulary:
         if new:
             self.learn(memo, new)
         get = memo.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        out = [b"".join(map(get, c)) for c in cut]
+        memo.trim(new)
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: their bytes, read as UTF-8 with replacement of what is none."""
@@ -255,14 +258,30 @@ class Vocabulary:
         return b"".join([get(i, b"") for i in ids.tolist()]).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, tuple[Vocabulary, dict]] = {}
+class Memo(dict):
+    """Ids of pieces.  Long pieces are not kept, and all go once their bytes pass MEMO_BYTES."""
 
+    held = 0
 
-def loaded(spec: str) -> tuple[Vocabulary, dict]:
-    """Vocabulary and piece memo of this worker process; the memo is emptied at MEMO_ENTRIES."""
+    def trim(self, new: set[str]) -> None:
+        for p in new:
+            if len(p) > 64:
+                del self[p]
+            else:
+                self.held += 6 * len(p) + ENTRY
+        if self.held > MEMO_BYTES:
+            self.clear()
+            self.held = 0
+
+
+_LOADED: dict[str, Vocabulary] = {}
+
+
+def loaded(spec: str) -> Vocabulary:
+    """The vocabulary, made once in a worker process."""
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _LOADED:
-        _LOADED[key] = Vocabulary(spec), {}
+        _LOADED[key] = Vocabulary(spec)
     return _LOADED[key]
 
 
@@ -272,6 +291,13 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
+def parts(batches):
+    """The batches cut by the bytes of their texts, which are in column 1."""
+    for batch in batches:
+        for lo, hi in slices(batch.column(1)):
+            yield batch.slice(lo, hi - lo)
+
+
 def encode(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids array<int>): the ids of each text."""
     spark = docs.sparkSession
@@ -279,13 +305,15 @@ def encode(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: st
     spec = spark.sparkContext.broadcast(read_spec(vocabulary))
 
     def run(batches):
-        vocab, memo = loaded(spec.value)
-        for batch in batches:
+        vocab, memo = loaded(spec.value), Memo()
+        for batch in parts(batches):
             got = vocab.encode_batch(batch.column(1).to_pylist(), memo)
             flat = np.frombuffer(b"".join(got), np.int32)
             ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got], dtype=np.int64)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+        memo.clear()
+        tidy()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -297,7 +325,7 @@ def decode(encoded: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", ids:
     spec = spark.sparkContext.broadcast(read_spec(vocabulary))
 
     def run(batches):
-        vocab, _ = loaded(spec.value)
+        vocab = loaded(spec.value)
         for batch in batches:
             texts = [vocab.decode(np.array(x if x is not None else (), np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -312,9 +340,9 @@ def digest(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: st
     spec = spark.sparkContext.broadcast(read_spec(vocabulary))
 
     def run(batches):
-        vocab, memo = loaded(spec.value)
+        vocab, memo = loaded(spec.value), Memo()
         sha = hashlib.sha256
-        for batch in batches:
+        for batch in parts(batches):
             n, a, b = [], [], []
             for raw in vocab.encode_batch(batch.column(1).to_pylist(), memo):
                 ids = np.frombuffer(raw, np.uint32)
@@ -325,5 +353,7 @@ def digest(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: st
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        memo.clear()
+        tidy()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, OUT)

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir, ship  # noqa: F401  (ship is for the operators)
 
-#: Entries that a per-worker memo may hold before it is emptied; bounds a Python worker's memory.
-MEMO_ENTRIES = 600_000
+#: Bytes that a worker's memo may hold, about, before it is emptied; an entry counts ``ENTRY`` for
+#: what Python keeps beside its key and value.
+MEMO_BYTES, ENTRY = 64 << 20, 150
+#: Rows up to which a side of a join is broadcast; beyond, both sides are shuffled.
+SMALL = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +38,28 @@ def drop_written(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def by_size(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small`` (a written table), which is broadcast if it has ``SMALL`` rows at most."""
+    n = small.limit(SMALL + 1).count()
+    return big.join(F.broadcast(small) if n <= SMALL else small.hint("merge"), on, how)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
+def opened(sent):
+    """A broadcast's value, which the worker does not keep."""
+    value = sent.value
+    if getattr(sent, "_path", None):
+        vars(sent).pop("_value", None)
+    return value
+
+
 def fold(doc_id: str | Column, m: int) -> Column:
     """crc32 of the id as text, modulo ``m`` (null for a null id)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

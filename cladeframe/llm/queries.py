@@ -54,7 +54,8 @@ def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
+    learned = fold("doc_id", 5) != 0
+    model = toxicity.fit(docs.where(learned), table(spark, sf_dir, "labels").where(learned))
     out = toxicity.score(docs, model)
     held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

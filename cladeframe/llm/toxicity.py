@@ -1,48 +1,59 @@
 """Toxicity scores behind a noisy-channel deobfuscator.
 
 Every token spans a lattice of characters: leet signs stand for letters, signs between letters may
-vanish, letter runs may shrink to one or two, and runs of single characters between blanks are
-joined.  A Viterbi search under a character trigram model (counted over all training texts) finds
-the likeliest reading; a token whose lattice has one path reads as itself.  A sparse logistic model
-(FTRL, elastic net) over the restored words of a text and their beginnings gives the score,
-calibrated on held-back rows.
+vanish, letter runs may shrink to one or two.  Where blanks may hide a word (runs of three and more
+single characters with the short tokens beside them, and neighbours that make a telling word when put
+together) the lattice spans the whole run, and each blank is a step that stays or vanishes at a cost.
+A Viterbi search under a character trigram model (counted over all training texts) finds the
+likeliest reading; a token whose lattice has one path reads as itself.  A sparse logistic model (FTRL,
+elastic net) over the restored words of a text and their beginnings gives the score, calibrated on
+held-back rows.
+
+Texts are read as arrays of word hashes; Python sees a token once, in a table of bounded size, and only
+where it is no run of different ASCII letters.
 
 Defined results: null and empty texts have no words and score the calibrated bias, as a text with no
-telling word does; labels that are null are ignored; without labels of both kinds every score is 0;
-repeated documents are scored each; other columns are not read (scores) or kept as they are
-(``drop_toxic``).
+telling word does; labels that are null are ignored, and so are repeated ones; without labels of both
+kinds every score is 0; of readings that cost the same the first choice of the lattice wins; very long
+texts are scored whole; a score of exactly one half is toxic; repeated documents are scored each; empty
+tables give no rows; other columns are not read (scores) or kept as they are (``drop_toxic``).
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, ship
+from .common import by_size, drop_written, ship, written
 from .ftrl import FTRL
+from .words import Hash, Table, distinct, flat, places, slices, tidy
 
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "2": "z", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-#: Log10 costs of the channel: a sign for a letter, a sign or a digit that vanishes, a letter run that shrinks.
-COST_LEET, COST_DROP, COST_DIGIT, COST_RUN = 0.7, 1.0, 4.0, 1.2
-BITS = 22
-#: Symbols of the character model: 0 for a word's edge, 1 for any other character, then these.
+#: Log10 costs of the channel: a sign for a letter, a sign or a digit that vanishes, a letter run that shrinks,
+#: a blank that vanishes among single characters, and one between longer tokens.
+COST_LEET, COST_DROP, COST_DIGIT, COST_RUN, COST_BLANK, COST_JOIN = 0.7, 1.0, 4.0, 1.2, 0.2, 1.0
+#: Symbols of the character model: 0 for a word's edge (any character that is no letter, and letters
+#: beyond the basic plane), 1 for a letter that is not listed, then these.
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâçéèêëîïôùûñáíóúœæ"
 K = len(LETTERS) + 2
 _CODE = {c: i + 2 for i, c in enumerate(LETTERS)}
-_TABLE = np.zeros(1 << 16, np.uint8)
+_TABLE = np.array([chr(c).isalpha() for c in range(1 << 16)], np.uint8)
+_TABLE[65535] = 0
 for _c, _i in _CODE.items():
     _TABLE[ord(_c)] = _i
-_SINGLES = re.compile(r"(?<!\S)\S(?:[ ]\S){3,}(?!\S)")
 _PLAIN = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"(.)\1")
 PREFIXES = (4, 5, 6)
+WORD, SECOND, START = Hash(21), Hash(22), Hash(23)
+#: Entries of a worker's table of tokens, and of its runs.
+ENTRIES, RUNS = 500_000, 50_000
 
 
 def char_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -54,7 +65,7 @@ def char_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
                 if not t:
                     continue
                 c = np.frombuffer(f"  {t.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-                s = _TABLE[np.minimum(c, 65535)].astype(np.int32)  # all but letters: an edge
+                s = _TABLE[np.minimum(c, 65535)].astype(np.int32)
                 total += np.bincount(s[:-2] * (K * K) + s[1:-1] * K + s[2:], minlength=K**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["k", "n"])
@@ -105,17 +116,30 @@ class Decoder:
             i = j
         return steps
 
+    def run(self, tokens: list[str], cost: float) -> str:
+        """The likeliest words, parted by blanks, of lower-case tokens whose blanks vanish at ``cost``."""
+        steps = []
+        for t in tokens:
+            if steps:
+                steps.append([(" ", 0.0), ("", cost)])
+            steps += self.lattice(t)
+        return self.read(steps)
+
     def decode(self, token: str) -> str:
         """The likeliest word of a lower-case token."""
+        return self.read(self.lattice(token))
+
+    def read(self, steps: list[list[tuple[str, float]]]) -> str:
+        """The letters of the cheapest path."""
         lp, code = self.lp, _CODE
         best = {(0, 0): (0.0, None)}  # (last two symbols) -> (cost, back pointer chain of letters)
-        for choices in self.lattice(token):
+        for choices in steps:
             new: dict = {}
             for (a, b), (cost, back) in best.items():
                 for letters, channel in choices:
                     x, y, total, chain = a, b, cost + channel, back
                     for c in letters:
-                        z = code.get(c, 1)
+                        z = code.get(c, 1) if c != " " else 0
                         total -= lp[x][y][z]
                         x, y, chain = y, z, (c, chain)
                     if (x, y) not in new or total < new[x, y][0]:
@@ -148,44 +172,178 @@ class Decoder:
         return w if _PLAIN.fullmatch(w) and not _RUN.search(w) else self.decode(w)
 
 
-def tokens(text: str | None) -> set[str]:
-    """Distinct raw tokens of a text, and its runs of single characters, joined."""
-    if not text:
-        return set()
-    out = set(text.split())
-    for m in _SINGLES.finditer(text):
-        out.add(m[0].replace(" ", ""))
+#: Signs that a token loses at its end before anything else; the others may stand for letters there.
+_TAIL = np.zeros(256, bool)
+_TAIL[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "$@+"]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_SIGN = _LETTER.copy()
+_SIGN[[ord(c) for c in LEET if ord(c) < 128]] = True
+
+
+def cores(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first of each text) of the tokens, less one sign of _TAIL at the end."""
+    starts, ends, first = places(raw, at)
+    return starts, ends - ((ends - starts > 1) & _TAIL[raw[ends - 1]]), first
+
+
+def spaced(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, first token, last token + 1) of the runs of three and more single characters, a letter
+    among them, and the tokens of three bytes at most right beside them."""
+    size, lead = ends - starts, raw[starts] if len(starts) else np.empty(0, np.uint8)
+    one = ((size == 1) & _SIGN[lead]) | ((size == 2) & (lead >= 0xC3) & (lead < 0xE0))
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    turn = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (text[1:] != text[:-1]), [True]])) if len(one) else np.empty(0, np.int64)
+    out = []
+    for i in np.flatnonzero(one[turn[:-1]] & (np.diff(turn) >= 3)).tolist() if len(turn) else ():
+        a, b = int(turn[i]), int(turn[i + 1])
+        t = int(text[a])
+        if not (_LETTER[lead[a:b]] | (lead[a:b] >= 0xC3)).any():
+            continue
+        out.append((t, a - int(a > first[t] and size[a - 1] <= 3), b + int(b < first[t + 1] and size[b] <= 3)))
     return out
 
 
 def features(word: str) -> list[int]:
-    """Buckets of a restored word: the word, and its beginnings."""
+    """Numbers of a restored word: its own, and those of its beginnings."""
     if len(word) < 2:
         return []
-    mask, b = (1 << BITS) - 1, word.encode("utf-8", "surrogatepass")
-    out = [zlib.crc32(b, 1) & mask]
-    return out + [zlib.crc32(word[:k].encode("utf-8", "surrogatepass"), 2) & mask for k in PREFIXES if len(word) >= k]
-
-
-class Scorer(dict):
-    """Token -> weight, filled as tokens come; the log-odds of a text are the bias and their sum."""
+    out = [WORD.plain(word.encode("utf-8", "surrogatepass")) >> 1]
+    return out + [START.plain(word[:k].encode("utf-8", "surrogatepass")) >> 1 for k in PREFIXES if len(word) >= k]
+
+
+def text_features(text: str | None, decoder: Decoder, memo: dict) -> set[int]:
+    """All features of a text."""
+    raw, at = flat(pa.array([text], pa.string()))
+    starts, ends, first = cores(raw, at)
+    whole, found = raw.tobytes(), set()
+    words = [whole[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist())]
+    for w in set(words):
+        got = memo.get(w)
+        if got is None:
+            if len(memo) > 2 * RUNS:
+                memo.clear()
+            got = memo[w] = features(decoder.restore(w))
+        found.update(got)
+    for _, a, b in spaced(raw, starts, ends, first):
+        for w in decoder.run([w.lower() for w in words[a:b]], COST_BLANK).split():
+            found.update(features(w))
+    return found
+
+
+class Scorer:
+    """Scores of whole columns of texts."""
 
     def __init__(self, model: "Model"):
-        self.model, self.decoder, self.weight = model, Decoder(model.chars), model.weight.get
-
-    def __missing__(self, token: str) -> float:
-        get = self.weight
-        v = self[token] = sum([get(f, 0.0) for f in features(self.decoder.restore(token))])
-        return v
-
-    def score(self, text: str | None) -> float:
+        self.model, self.decoder = model, Decoder(model.chars)
+        self.keys = np.array(sorted(model.weight), np.int64)
+        self.values = np.array([model.weight[k] for k in self.keys.tolist()], float)
+        #: Of the low bits of numbers, those that any feature has.
+        self.low = np.zeros(1 << 16, bool)
+        self.low[self.keys & 0xFFFF] = True
+        self.runs: dict[tuple, list] = {}
+        self.clear(ENTRIES)
+
+    def clear(self, entries: int) -> None:
+        self.table = Table(entries)
+        self.weight = np.zeros(self.table.limit + 1)
+
+    def look(self, numbers: np.ndarray) -> np.ndarray:
+        """Weights of features, given as hashes."""
+        numbers = (numbers >> np.uint64(1)).astype(np.int64)
+        out, at = np.zeros(len(numbers)), np.flatnonzero(self.low[numbers & 0xFFFF])
+        if len(at) and len(self.keys):
+            k = np.minimum(np.searchsorted(self.keys, numbers[at]), len(self.keys) - 1)
+            out[at] = np.where(self.keys[k] == numbers[at], self.values[k], 0.0)
+        return out
+
+    def word(self, w: str) -> float:
+        get = self.model.weight.get
+        return sum([get(f, 0.0) for f in features(w)])
+
+    def learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Weights of new tokens."""
+        size = ends - starts
+        cuts = np.concatenate([[0], np.cumsum(size)])
+        buf = raw[np.repeat(starts - cuts[:-1], size) + np.arange(int(cuts[-1]))]
+        folded = np.where((buf >= 65) & (buf <= 90), buf | 32, buf)
+        odd = np.concatenate([[0], np.cumsum(~_LETTER[buf])])
+        twin = np.concatenate([[0, 0], np.cumsum(folded[1:] == folded[:-1])])
+        s, e = cuts[:-1], cuts[1:]
+        simple = (odd[e] == odd[s]) & (twin[e] == twin[np.minimum(s + 1, len(twin) - 1)])
+        out = np.zeros(len(size))
+        at = np.flatnonzero(simple & (size > 1))
+        if len(at):
+            out[at] = self.look(WORD.prefix(buf, s[at], e[at]))
+            for k in PREFIXES:
+                on = at[size[at] >= k]
+                if len(on):
+                    out[on] += self.look(START.prefix(buf, s[on], s[on] + k))
+        whole = buf.tobytes()
+        for i in np.flatnonzero(~simple).tolist():
+            out[i] = self.word(self.decoder.restore(whole[s[i] : e[i]].decode("utf-8", "replace")))
+        return out
+
+    def reading(self, words: tuple, cost: float) -> list[tuple[str, float]]:
+        """Telling words of a run whose blanks may vanish, with their weights."""
+        got = self.runs.get(words)
+        if got is None:
+            if len(self.runs) > RUNS:
+                self.runs.clear()
+            found = self.decoder.run([w.lower() for w in words], cost).split()
+            got = self.runs[words] = [(w, v) for w in dict.fromkeys(found) if w not in words and (v := self.word(w))]
+        return got
+
+    def sums(self, column: pa.Array) -> np.ndarray:
+        """The sum of the weights of the different tokens and readings of each text."""
+        raw, at = flat(column)
+        starts, ends, first = cores(raw, at)
+        total = np.zeros(len(column))
+        if not len(starts):
+            return total
+        sums = WORD.sums(raw, starts, ends)
+        h1, h2 = WORD.sealed(sums, ends - starts), SECOND.prefix(raw, starts, ends)
+        for turn in (0, 1):
+            row = self.table.find(h1, h2)
+            new = np.flatnonzero(row < 0)
+            one, back = distinct(h1[new], h2[new])
+            if self.table.room >= len(one):
+                break
+            self.clear(max(ENTRIES, 2 * len(one)) if turn == 0 else 2 * len(one))
+        if len(one):
+            pick = new[one]
+            rows = self.table.add(h1[pick], h2[pick])
+            self.weight[rows] = self.learn(raw, starts[pick], ends[pick])
+            row[new] = rows[back]
+        text = np.repeat(np.arange(len(column)), np.diff(first))
+        value = self.weight[row]
+        hit = np.flatnonzero(value)
+        _, once = np.unique(text[hit] * np.int64(len(self.weight)) + row[hit], return_index=True)
+        hit = hit[once]
+        total += np.bincount(text[hit], value[hit], len(column))
+        extra: dict[tuple[int, str], float] = {}
+        read = lambda a, b: tuple(raw[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist()))
+        for t, a, b in spaced(raw, starts, ends, first):
+            extra.update(((t, w), v) for w, v in self.reading(read(a, b), COST_BLANK))
+        # Neighbours of letters alone that make a telling word when put together.
+        size = ends - starts
+        odd = np.concatenate([[0], np.cumsum(~_LETTER[raw])])
+        plain = (odd[ends] == odd[starts]) & (size > 1) & (size < 24)
+        left = np.flatnonzero(plain[:-1] & plain[1:] & (text[1:] == text[:-1]))
+        both = WORD.sealed(WORD.joined(sums[left], size[left], sums[left + 1]), size[left] + size[left + 1])
+        for i in left[np.flatnonzero(self.look(both))].tolist():
+            extra.update(((int(text[i]), w), v) for w, v in self.reading(read(i, i + 2), COST_JOIN))
+        for (t, _), v in extra.items():
+            total[t] += v
+        return total
+
+    def scores(self, column: pa.Array) -> np.ndarray:
         m = self.model
         if not m.weight:
-            return m.empty
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-        z = m.a * (m.bias + math.fsum(map(self.__getitem__, tokens(text)))) + m.b
-        return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+            return np.full(len(column), m.empty)
+        z = [self.sums(column.slice(lo, hi - lo)) for lo, hi in slices(column)]
+        z = m.a * (m.bias + (np.concatenate(z) if z else np.empty(0))) + m.b
+        return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
 class Model:
@@ -245,32 +403,27 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     spark = docs.sparkSession
     ship(spark)
     chars = char_model(char_counts(docs, text))
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).distinct()
     n = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     if len(n) < 2:
         return Model(chars, {}, 0.0)
     h = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
     share = F.when(F.col("y") == 1, F.lit(int(min(1.0, bound / n[1]) * (1 << 30)))).otherwise(F.lit(int(min(1.0, 2 * bound / n[0]) * (1 << 30))))
+    sample = written(known.where(h < share), "toxicity-sample")
     sent = spark.sparkContext.broadcast(chars)
 
     def run(batches):
         decoder, memo = Decoder(sent.value), {}
         for batch in batches:
-            out = []
-            for t in batch.column(2).to_pylist():
-                found = set()
-                for tok in tokens(t):
-                    got = memo.get(tok)
-                    if got is None:
-                        if len(memo) > MEMO_ENTRIES // 2:
-                            memo.clear()
-                        got = memo[tok] = features(decoder.restore(tok))
-                    found.update(got)
-                out.append(sorted(found))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.list_(pa.int32()))], ["doc_id", "y", "f"])
-
-    got = known.where(h < share).join(rows, "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f array<int>").toArrow()
+            for lo, hi in slices(batch.column(2)):
+                out = [sorted(text_features(t, decoder, memo)) for t in batch.column(2).slice(lo, hi - lo).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:2]), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "y", "f"])
+        memo.clear()
+        tidy()
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    got = by_size(rows, sample, ["doc_id"]).select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f array<long>").toArrow()
+    drop_written(sample)
     ids, y = np.array(got["doc_id"].to_pylist(), np.int64), np.array(got["y"].to_pylist(), np.int64)
     if len(set(y.tolist())) < 2:
         return Model(chars, {}, 0.0)
@@ -306,26 +459,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) of every document."""
-    ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        scorer = Scorer(sent.value)
-        for batch in batches:
-            got = [scorer.score(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], ["doc_id", "score"])
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), scores(docs, model)(F.col(text)).alias("score"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text: str = "text", limit: float = 0.5) -> DataFrame:
     """The documents, all columns kept, that score below ``limit``."""
+    return docs.where(scores(docs, model)(F.col(text)) < limit)
+
+
+def scores(docs: DataFrame, model: Model):
+    """The score as a function of a text column; only that column goes to Python."""
     ship(docs.sparkSession)
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def keep(batches):
+    @F.arrow_udf("double")
+    def scored(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(sent.value)
-        for batch in batches:
-            yield batch.filter(pa.array([scorer.score(t) < limit for t in batch.column(at).to_pylist()], pa.bool_()))
+        for texts in column:
+            yield pa.array(scorer.scores(texts), pa.float64())
+        del scorer
+        tidy()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return scored

@@ -17,8 +17,9 @@ import xxhash
 #: Bytes of text whose running sums are held at a time, and the longest word that goes through them.
 PIECE = 1 << 16
 #: Bytes of text that ``slices`` puts together.
-SLICE = 4 << 20
+SLICE = 2 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_ALL = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -51,14 +52,18 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[int(at[0]) : int(at[-1])], at.astype(np.int64) - int(at[0])
 
 
-def places(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends) of all words, and the number of the first word of each text (one more at the end)."""
+def places(raw: np.ndarray, at: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends) of all words, and the number of the first word of each text (one more at the end).
+    Where ``cut`` is true, which is inside words alone, another word starts."""
     if not len(raw):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(at), np.int64)
     solid = ~_SPACE[raw]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
+    if cut is not None:
+        first |= cut
+        last[:-1] |= cut[1:]
     edge = at[:-1][at[:-1] < len(raw)]
     first[edge] |= solid[edge]
     edge = at[1:][at[1:] > 0] - 1
@@ -82,6 +87,19 @@ class Hash:
 
     def prefix(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of ``raw[starts:ends]``, places in ascending order that do not overlap."""
+        return self.sealed(self.sums(raw, starts, ends), ends - starts)
+
+    @staticmethod
+    def sealed(sums: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Hashes of words from their sums and sizes."""
+        return mix(sums ^ (size.astype(np.uint64) * _M1))
+
+    def joined(self, left: np.ndarray, size: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Sums of words that are put together, the left ones of ``size`` bytes."""
+        return left + right * self.power[size]
+
+    def sums(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The polynomial sums of words; of words above PIECE bytes another hash."""
         out, n, i = np.empty(len(starts), np.uint64), len(starts), 0
         while i < n:
             lo = int(starts[i])
@@ -97,71 +115,83 @@ class Hash:
             sums = np.empty(len(x) + 1, np.uint64)
             sums[0] = 0
             np.cumsum(x, out=sums[1:])
-            h = (sums[e] - sums[s]) * self.inverse[s]
-            out[i:j] = mix(h ^ ((e - s).astype(np.uint64) * _M1))
+            out[i:j] = (sums[e] - sums[s]) * self.inverse[s]
             i = j
         return out
 
+    def plain(self, word: bytes) -> int:
+        """The hash of one word, without arrays: for short words one at a time."""
+        if len(word) > 64:
+            return self.one(word)
+        if not hasattr(self, "_lists"):
+            self._lists = self.table.tolist(), self.power[:64].tolist()
+        t, p = self._lists
+        h = sum([t[b] * q for b, q in zip(word, p)]) & _ALL
+        h = (h ^ (len(word) * int(_M1))) & _ALL
+        h = ((h ^ (h >> 31)) * int(_M2)) & _ALL
+        return h ^ (h >> 29)
+
     def one(self, word: bytes) -> int:
         """The hash of one word."""
         return int(self.prefix(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0])
 
 
 class Table:
-    """Open addressing from pairs of 64-bit hashes to row numbers, for whole arrays at a time.
+    """Open addressing from pairs of 64-bit hashes to row numbers, for whole arrays at a time.  A slot
+    holds the first hash, and half of the second beside the row, so that a look takes one place in memory.
 
-    Bounded: ``room`` says how many keys may still be added; ``clear`` starts again.
+    Bounded: ``room`` says how many keys may still be added.
     """
 
     def __init__(self, entries: int):
         self.bits = max(4, int(2 * entries - 1).bit_length())
         self.limit = (1 << self.bits) // 2
-        self.k1, self.k2, self.row = (np.zeros(1 << self.bits, t) for t in (np.uint64, np.uint64, np.int32))
+        self.slots = np.zeros((1 << self.bits, 2), np.uint64)
         self.n = 0
 
     @property
     def room(self) -> int:
         return self.limit - self.n
 
-    def clear(self) -> None:
-        self.k1[:] = 0
-        self.n = 0
-
     def _slot(self, h1: np.ndarray) -> np.ndarray:
         return ((h1 * _M1) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Row numbers, -1 where a key is absent."""
-        h1 = h1 | np.uint64(1)
-        at, out = self._slot(h1), np.full(len(h1), -1, np.int64)
-        k = self.k1[at]
-        hit = (k == h1) & (self.k2[at] == h2)
-        out[hit] = self.row[at[hit]]
-        left = np.flatnonzero(~hit & (k != 0))
-        mask = (1 << self.bits) - 1
-        while len(left):
-            at[left] = (at[left] + 1) & mask
-            k = self.k1[at[left]]
-            hit = (k == h1[left]) & (self.k2[at[left]] == h2[left])
-            out[left[hit]] = self.row[at[left[hit]]]
-            left = left[~hit & (k != 0)]
+        out, left, at = np.full(len(h1), -1, np.int64), None, self._slot(h1 | np.uint64(1))
+        h1, h2, mask, half = h1 | np.uint64(1), h2 >> np.uint64(32), (1 << self.bits) - 1, np.uint64(32)
+        while len(at):
+            got = self.slots.take(at, axis=0)
+            k, v = got[:, 0], got[:, 1]
+            hit = (k == h1) & ((v >> half) == h2)
+            row = (v & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            if left is None:
+                np.copyto(out, row, where=hit)
+                left = np.flatnonzero(~hit & (k != 0))
+                on = left
+            else:
+                out[left[hit]] = row[hit]
+                on = np.flatnonzero(~hit & (k != 0))
+                left = left[on]
+            at, h1, h2 = (at[on] + 1) & mask, h1[on], h2[on]
         return out
 
     def add(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Row numbers of new, different keys, in their order."""
         rows = np.arange(self.n, self.n + len(h1), dtype=np.int64)
         h1 = h1 | np.uint64(1)
-        at, mask, left = self._slot(h1), (1 << self.bits) - 1, np.arange(len(h1))
-        while len(left):
-            free = left[self.k1[at[left]] == 0]
-            if len(free):
-                # Of keys that want one slot the last that is written gets it.
-                self.k1[at[free]], self.k2[at[free]], self.row[at[free]] = h1[free], h2[free], rows[free]
-                got = self.row[at[left]] == rows[left]
-                got &= self.k1[at[left]] == h1[left]
-                left = left[~got]
-            at[left] = (at[left] + 1) & mask
-        self.n += len(h1)
+        value = ((h2 >> np.uint64(32)) << np.uint64(32)) | rows.astype(np.uint64)
+        at, mask = self._slot(h1), (1 << self.bits) - 1
+        while len(at):
+            free = np.flatnonzero(self.slots[at, 0] == 0)
+            # Of keys that want one slot the last that is written gets it.
+            self.slots[at[free], 1] = value[free]
+            won = free[self.slots[at[free], 1] == value[free]]
+            self.slots[at[won], 0] = h1[won]
+            on = np.ones(len(at), bool)
+            on[won] = False
+            at, h1, value = (at[on] + 1) & mask, h1[on], value[on]
+        self.n += len(rows)
         return rows
 
 

@@ -485,7 +485,7 @@ def slow_groups(rows, threshold=0.8):
 
 @pytest.mark.parametrize("block", [512, 7])
 def test_jaccard_join_equals_all_pairs(spark, odd, block, monkeypatch):
-    monkeypatch.setattr(minhash.links, "__defaults__", (block,))
+    monkeypatch.setattr(minhash.links, "__defaults__", (block, 8 << 20))
     rng = random.Random(21)
     rows = [r for r in odd if r[0] is not None and r[1] and r[1].strip()] + [(60, ""), (61, None)]
     for g in range(6):

@@ -8,8 +8,9 @@ pages that it needs.  A document's start in the whole stream is its part's base
 table, one row per part) plus its start within the part, so writing needs no global pass.
 
 Defined results: a null text is encoded as the empty one; every document ends with ``end_id``;
-documents with equal ids are ordered by a hash of their text and each keeps its own row; an empty
-table gives an empty file set.  Other columns of the documents are not read.
+documents without an id come first; documents with equal ids are ordered by a hash of their text and
+each keeps its own row; a very long text is one row of one part, whatever its size; an empty table
+gives an empty file set.  Other columns of the documents are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from .bpe import byte_chars
-from .common import MEMO_ENTRIES, shared_dir, ship
+from .common import shared_dir, ship
+from .words import Hash, Table, distinct, flat, places, slices, tidy
 
 #: Parquet writer settings of the format.
 FORMAT = {
@@ -54,22 +56,31 @@ SCHEMA = T.StructType(
 )
 MANIFEST = "part int, n long, base long"
 
-#: Fixed value: the piece pattern of word vocabularies that drop white space.
+#: Normaliser and pre-tokenizer of word vocabularies that drop white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Chunks of printable ASCII and Latin-1 letters, and the same pattern over them in lower case.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTER = [
+    {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+#: Words of printable ASCII and Latin-1 letters, and the same pattern over them in lower case.
 _LATIN = re.compile("[\x21-\x7e\u00c0-\u00ff]+")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: Words whose ids a worker keeps, ids of them, and pieces that it keeps beside them.
+ENTRIES, ARENA, PIECES = 500_000, 2_500_000, 50_000
 
 _LOADED: dict[str, object] = {}
 
 
-class ChunkMemo(dict):
-    """Ids of the chunks between blanks.  No piece of the vocabulary's pattern crosses a blank, so
-    the ids of a text are those of its chunks.
+class Encoder:
+    """Ids of whole columns of texts.
 
-    A chunk of plain Latin characters is cut into pieces here, as the file's normaliser and pattern
-    cut it, and each new piece goes to the library's model; any other chunk goes to the whole
-    tokenizer.  Files with another pattern send every chunk to the tokenizer.
+    Where the file has the normaliser and the pattern above, no piece crosses white space, nor a place
+    where a sign follows an ASCII letter, so a text's ids are those of its words between these places.
+    They are kept by the words' 128-bit hashes, in arrays of bounded size.  A new word of plain Latin
+    characters is cut into pieces here, as the file's pattern cuts it, and each new piece goes to the
+    library's model; any other word, a text that may hold a special token, and every text of a file
+    with another form goes to the whole tokenizer.
     """
 
     def __init__(self, spec: bytes):
@@ -79,43 +90,125 @@ class ChunkMemo(dict):
         self.tok = Tokenizer.from_buffer(spec)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.pieces: dict[str, list[int]] = {}
         j = json.loads(spec)
-        pattern = [x["pattern"].get("Regex") for x in (j.get("pre_tokenizer") or {}).get("pretokenizers", ()) if x["type"] == "Split"]
-        normal = [x["type"] for x in (j.get("normalizer") or {}).get("normalizers", ())]
-        self.known_form = pattern == [PATTERN] and normal == ["NFC", "Replace", "Lowercase"]
+        parts = lambda x, kind: ((j.get(x) or {}).get(kind) or []) if (j.get(x) or {}).get("type") == "Sequence" else None
+        self.known_form = parts("normalizer", "normalizers") == NORMALIZER and parts("pre_tokenizer", "pretokenizers") == SPLITTER
+        self.known_form &= all(t["content"].startswith("<|") for t in j.get("added_tokens", ()))
         self.chars = byte_chars()
-        self[""] = b""
-
-    def __missing__(self, chunk: str) -> bytes:
-        if self.known_form and _LATIN.fullmatch(chunk) and "<|" not in chunk:
-            ids, have = [], self.pieces
-            for p in _PIECE.findall(chunk.lower()):
-                got = have.get(p)
-                if got is None:
-                    if len(have) > MEMO_ENTRIES // 2:
-                        have.clear()
-                    raw = p if p.isascii() else "".join([self.chars[b] for b in p.encode()])
-                    got = have[p] = [t.id for t in self.tok.model.tokenize(raw)]
-                ids += got
-        else:
-            ids = self.tok.encode(chunk, add_special_tokens=False).ids
-        out = self[chunk] = np.array(ids, np.uint32).tobytes()
+        self.pieces: dict[str, list[int]] = {}
+        self.plain, self.exact = (Hash(k, fold) for k, fold in ((3, True), (5, False))), (Hash(k, False) for k in (7, 9))
+        self.plain, self.exact = tuple(self.plain), tuple(self.exact)
+        letter = np.zeros(256, bool)
+        letter[65:91] = letter[97:123] = True
+        sign = np.zeros(256, bool)
+        sign[33:127] = True
+        sign[[39, *range(48, 58)]] = False
+        self.letter, self.sign = letter, sign & ~letter
+        self.clear(ENTRIES)
+
+    def clear(self, entries: int) -> None:
+        """Forget all words, and keep room for ``entries``."""
+        self.table = Table(entries)
+        self.start, self.size = np.zeros(self.table.limit + 1, np.int64), np.zeros(self.table.limit + 1, np.int32)
+        self.ids, self.used = np.zeros(ARENA, np.uint32), 0
+
+    def word(self, w: str) -> list[int]:
+        if w.isascii() and w.isalpha():
+            return [t.id for t in self.tok.model.tokenize(w.lower())]
+        if not _LATIN.fullmatch(w):
+            return self.tok.encode(w, add_special_tokens=False).ids
+        out, have = [], self.pieces
+        for p in _PIECE.findall(w.lower()):
+            got = have.get(p)
+            if got is None:
+                if len(have) > PIECES:
+                    have.clear()
+                raw = p if p.isascii() else "".join([self.chars[b] for b in p.encode()])
+                got = [t.id for t in self.tok.model.tokenize(raw)]
+                if len(p) <= 64:
+                    have[p] = got
+            out += got
         return out
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Row numbers of new words, which are kept from here on."""
+        whole = raw.tobytes()
+        got = [self.word(whole[a:b].decode("utf-8", "replace")) for a, b in zip(starts.tolist(), ends.tolist())]
+        size = np.fromiter(map(len, got), np.int32, len(got))
+        flat_ids = np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))
+        if self.used + len(flat_ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(flat_ids), len(self.ids) // 4), np.uint32)])
+        rows = self.table.add(h1, h2)
+        self.ids[self.used : self.used + len(flat_ids)] = flat_ids
+        self.start[rows], self.size[rows] = self.used + np.cumsum(size) - size, size
+        self.used += len(flat_ids)
+        return rows
+
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids of each text) of a string column, each text with ``end_id`` at its end."""
+        raw, at = flat(column)
+        if not self.known_form:
+            return self._by_library(column, range(len(column)), end_id)
+        special = np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124))
+        if len(special):
+            return self._mixed(column, np.unique(np.searchsorted(at, special, side="right") - 1), end_id)
+        cut = np.zeros(len(raw), bool)
+        cut[1:] = self.letter[raw[:-1]] & self.sign[raw[1:]]
+        cut[at[:-1][at[:-1] < len(raw)]] = False
+        starts, ends, first = places(raw, at, cut)
+        h1, h2 = (h.prefix(raw, starts, ends) for h in self.plain)
+        high = np.concatenate([[0], np.cumsum(raw >= 128)])
+        odd = np.flatnonzero(high[ends] > high[starts])
+        # Before characters are composed, only words of ASCII alone may be folded.
+        if len(odd):
+            h1[odd], h2[odd] = (h.prefix(raw, starts[odd], ends[odd]) for h in self.exact)
+        for turn in (0, 1):
+            row = self.table.find(h1, h2)
+            new = np.flatnonzero(row < 0)
+            one, back = distinct(h1[new], h2[new])
+            if self.table.room >= len(one) and (turn or self.used <= ARENA):
+                break
+            self.clear(max(ENTRIES, 2 * len(one) if turn or len(one) > ENTRIES else 0))
+        if len(one):
+            at_ = new[np.sort(one)]
+            order = np.argsort(one)
+            rows = np.empty(len(one), np.int64)
+            rows[order] = self.learn(raw, starts[at_], ends[at_], h1[at_], h2[at_])
+            row[new] = rows[back]
+        n = np.diff(first)
+        last = np.cumsum(n + 1)
+        place = np.arange(len(starts)) + np.repeat(np.arange(len(n)), n)
+        size, begin = np.ones(int(last[-1]) if len(last) else 0, np.int64), np.full(int(last[-1]) if len(last) else 0, -1, np.int64)
+        size[place], begin[place] = self.size[row], self.start[row]
+        to = np.cumsum(size)
+        index = np.repeat(begin - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)
+        ends_at = to[last - 1] - 1
+        index[ends_at] = 0
+        ids = self.ids[index]
+        ids[ends_at] = end_id
+        return ids, np.diff(ends_at, prepend=-1)
+
+    def _by_library(self, column: pa.Array, which, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        got = [[*self.tok.encode(column[int(i)].as_py() or "", add_special_tokens=False).ids, end_id] for i in which]
+        return np.fromiter((i for x in got for i in x), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _mixed(self, column: pa.Array, slow: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, with the texts ``slow`` through the library."""
+        mask = np.zeros(len(column), bool)
+        mask[slow] = True
+        ids, n = [], np.zeros(len(column), np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], mask[1:] != mask[:-1], [True]]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            got, n[a:b] = self._by_library(column, range(a, b), end_id) if mask[a] else self.encode(column.slice(a, b - a), end_id)
+            ids.append(got)
+        return np.concatenate(ids), n
 
 
-def loaded(spec: bytes) -> ChunkMemo:
+def loaded(spec: bytes) -> Encoder:
     key = hashlib.sha256(spec).hexdigest()
-    memo = _LOADED.get(key)
-    if memo is None:
-        memo = _LOADED[key] = ChunkMemo(spec)
-    if len(memo) > MEMO_ENTRIES:
-        memo.clear()
-        memo[""] = b""
-    return memo
+    if key not in _LOADED:
+        _LOADED[key] = Encoder(spec)
+    return _LOADED[key]
 
 
 def write_tokens(
@@ -123,8 +216,7 @@ def write_tokens(
 ) -> str:
     """Encode ``docs`` into token-id files under ``path``; returns ``path``.
 
-    ``vocabulary`` is a file of the tokenizers library, whose pattern must cut at blanks (as word
-    vocabularies that drop white space do).  Text is dealt out by ranges of the id, about
+    ``vocabulary`` is a file of the tokenizers library.  Text is dealt out by ranges of the id, about
     ``part_bytes`` a part, and is encoded where it lands; one shuffle of the text in all.
     """
     spark = docs.sparkSession
@@ -138,19 +230,17 @@ def write_tokens(
     rows = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def run(batches):
-        memo, part, at = loaded(spec.value), TaskContext.get().partitionId(), 0
-        end = np.uint32(end_id).tobytes()
+        encoder, part, at = loaded(spec.value), TaskContext.get().partitionId(), 0
         for batch in batches:
-            if len(memo) > MEMO_ENTRIES:
-                memo = loaded(spec.value)
-            got = [memo.encode(t or "") + end for t in batch.column(1).to_pylist()]
-            n = np.array([len(x) // 4 for x in got], np.int64)
-            ends = np.concatenate([[0], np.cumsum(n)])
-            tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(got), np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), part, np.int32)), batch.column(0), pa.array(at + ends[:-1]), pa.array(n), tokens], SCHEMA.names
-            )
-            at += int(ends[-1])
+            for lo, hi in slices(batch.column(1)):
+                ids, n = encoder.encode(batch.column(1).slice(lo, hi - lo), end_id)
+                ends = np.concatenate([[0], np.cumsum(n)])
+                tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(n), part, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(at + ends[:-1]), pa.array(n), tokens], SCHEMA.names
+                )
+                at += int(ends[-1])
+        tidy()
 
     rows.mapInArrow(run, SCHEMA).write.options(**FORMAT).parquet(f"{path}/tokens")
     sums = spark.read.schema(SCHEMA).parquet(f"{path}/tokens").groupBy("part").agg(F.sum("n_tokens").alias("n"))

@@ -8,13 +8,16 @@ CASE expression, first match wins, so applying it needs no Python.
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept; an
 unlabelled corpus, or labels of one class, give the empty list (all that pass the base are kept);
-labels are joined by id, null labels are ignored, repeated labels of an id count each; columns of
-the documents other than id and text are neither read nor changed.
+labels are joined by id, null labels are ignored and repeated ones count once; of thresholds of equal
+gain the first feature and the least threshold win; very long texts are counted whole; empty tables
+give no rows and the empty list; columns of the documents other than id and text are neither read nor
+changed.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, ship
+from .common import by_size, drop_written, fresh, sampled, ship, written
 
 #: Statistics, in order; the first six counts are exact and the ratios derive from counts alone.
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_pipes", "n_distinct", "n_bangs", "n_stop_end"]
@@ -96,6 +99,19 @@ def statistics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, schema)
 
 
+def counts(docs: DataFrame):
+    """The COUNTS as a function of a text column; only that column goes to Python."""
+    ship(docs.sparkSession)
+
+    @F.arrow_udf(", ".join(f"{c} long" for c in COUNTS))
+    def counted(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in column:
+            got = np.array([text_counts(t.as_py()) for t in texts], np.int64).reshape(-1, len(COUNTS))
+            yield pa.StructArray.from_arrays([pa.array(c) for c in got.T], COUNTS)
+
+    return counted.asNondeterministic()
+
+
 def feature_columns(prefix: str = "") -> dict[str, Column]:
     """The FEATURES as expressions over the COUNTS (whose names start with ``prefix``)."""
     c = {k: F.col(prefix + k).cast("double") for k in COUNTS}
@@ -209,12 +225,23 @@ def learn_list(x: np.ndarray, bad: np.ndarray, *, min_precision: float = 0.97, m
     return rules
 
 
+def _sample(labels: DataFrame, doc_id: str, label: str, bound: int) -> DataFrame:
+    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), (F.col(label) == 0).alias("bad")).distinct()
+    return written(sampled(known, known.count(), bound, "doc_id"), "quality-sample")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", bound: int = 40_000) -> DataFrame:
+    """(doc_id, text) of the documents that ``fit`` with the same arguments learns from."""
+    sample = _sample(labels, doc_id, label, bound).select("doc_id").distinct()
+    return by_size(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), sample, ["doc_id"], "left_semi")
+
+
 def fit(stats: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", label: str = "quality", bound: int = 40_000, **options) -> list[Rule]:
     """The decision list for ``label`` = 0, learned from at most about ``bound`` labelled rows."""
-    known = labels.where(F.col(label).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), (F.col(label) == 0).alias("bad"))
-    n = known.count()
-    rows = sampled(known, n, bound, "doc_id").join(stats, "doc_id").where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    sample = _sample(labels, doc_id, label, bound)
+    rows = by_size(stats, sample, ["doc_id"]).where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
     got = rows.select("doc_id", "bad", *(c.alias("f_" + k) for k, c in feature_columns().items())).toPandas()
+    drop_written(sample)
     if got.empty:
         return []
     got = got.sort_values(["doc_id", "bad"], kind="stable")
@@ -238,3 +265,12 @@ def judge(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     kept, which = verdict(rules)
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return stats.withColumn("base_failed", failed).withColumn("rule", F.when(~failed, which)).withColumn("kept", ~failed & kept)
+
+
+def keep_good(docs: DataFrame, rules: list[Rule], *, text: str = "text") -> DataFrame:
+    """The documents, all columns kept, that pass the base and that no rule rejects; each row is judged
+    by its own text, in one pass."""
+    name = fresh(docs, "_rule_stats")
+    rows = docs.withColumn(name, counts(docs)(F.col(text)))
+    kept, _ = verdict(rules, f"{name}.")
+    return rows.where(~base_failed(F.col(f"{name}.n_words"), F.col(f"{name}.n_repeat_words")) & kept).drop(name)

@@ -35,13 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import opened, ship, written
 from .words import Hash, Table, distinct, flat, mix, places, slices, tidy
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BITS_PER_ENTRY = 12
 #: Tokens whose counts a task sums before it passes them on.
-PIECE = 2_000_000
+PIECE = 1_000_000
 #: The most that a segment takes, which bounds what the task that builds it holds.
 SEGMENT_BYTES = 4 << 20
 
@@ -258,14 +258,6 @@ def hottest(made: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return h.view(np.uint64), g.view(np.uint64), n
 
 
-def _opened(sent):
-    """A broadcast's value, which the worker does not keep."""
-    value = sent.value
-    if getattr(sent, "_path", None):
-        vars(sent).pop("_value", None)
-    return value
-
-
 ROWS = "uid long, doc_id long, n long, n_known long, base double, score double, s int, h binary, g binary, u binary, m binary"
 
 
@@ -285,13 +277,13 @@ def score(
     n_texts, denom = size[1], n_total + n_words + 1
     floor = math.log10(denom)
     # More parts are opened once for more text.
-    piece = (4 << 20) * min(8, max(1, len(parts)))
+    piece = (2 << 20) * min(16, max(1, len(parts)))
 
     def run(batches):
         h, g, n = sent.value
         table, weight = Table(max(1, len(h))), np.log10(n + 1.0)
         table.add(h, g)
-        only = _opened(parts[0]) if len(parts) == 1 else None
+        only = opened(parts[0]) if len(parts) == 1 else None
         part, uid = TaskContext.get().partitionId() << 36, 0
 
         def levels(h: np.ndarray) -> np.ndarray:
@@ -299,7 +291,7 @@ def score(
                 return only.levels(h)
             got = np.zeros(len(h), np.int64)
             for p in parts:
-                got += _opened(p).levels(h)
+                got += opened(p).levels(h)
             return got
 
         for batch in batches:

@@ -7,22 +7,29 @@ is bounded by its shortest pattern.  In each group a table maps every block of t
 distance by which the search window may safely move; blocks that end a pattern (shift 0) lead to a
 bucket of patterns, which are confirmed by direct comparison of all words.
 
+The benchmark is cut into blocks of bounded size by a hash of the item; each block's windows are a
+broadcast of their own.  One block's search tables are made once a task; with more blocks a task
+holds one block at a time, for some megabytes of text each.
+
 Defined results: null and empty texts have no words and no hits; a null item text has no windows;
-items with equal windows are each reported; repeated documents are each scored; document columns
-other than the id and the text are ignored; an empty benchmark or document table gives no hits or
-no rows.  A null item id is left out of the item list but its windows still hit.
+items with equal windows are each reported; repeated documents are each scored; occurrences that
+overlap are all found, and a word in several counts once; very long texts are searched whole; document
+columns other than the id and the text are ignored; an empty benchmark or document table gives no hits
+or no rows.  A null item id is left out of the item list but its windows still hit.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import opened, ship
+from .words import slices, tidy
 
 #: Words are what remains after these bytes (ASCII that is no letter or digit) become spaces.
 _FOLD = bytes(
@@ -94,11 +101,7 @@ def windows(w: list[bytes], size: int) -> set[tuple]:
 
 
 def searchers(benchmark: DataFrame, item_id: str, text: str, window: int, max_bytes: int) -> list:
-    """Broadcast search tables, each built from at most ``max_bytes`` of item text.
-
-    The benchmark is read in blocks of bounded size (by a hash of the item), so neither the driver
-    nor a worker holds more than one block's tables at a time while it builds them.
-    """
+    """Broadcast windows, each of at most about ``max_bytes`` of item text."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
@@ -114,6 +117,35 @@ def searchers(benchmark: DataFrame, item_id: str, text: str, window: int, max_by
     return found
 
 
+class Finder:
+    """Occurrences of the windows of all blocks, which are opened one at a time."""
+
+    def __init__(self, blocks: list):
+        self.blocks, self.only = blocks, WuManber(opened(blocks[0])) if len(blocks) == 1 else None
+
+    def tables(self):
+        if self.only is not None:
+            yield self.only
+            return
+        for b in self.blocks:
+            yield WuManber(opened(b))
+
+    def parts(self, column: pa.Array):
+        """(first, last) rows of parts of a text column; more blocks are opened once for more text."""
+        return slices(column, (2 << 20) * min(16, max(1, len(self.blocks))))
+
+    def hits(self, texts: list) -> list[tuple[bytearray, set]]:
+        """For each text its words, marked if they are hit, and the items found."""
+        cut = [words(t) for t in texts]
+        out = [(bytearray(len(w)), set()) for w in cut]
+        for f in self.tables():
+            for w, (hit, found) in zip(cut, out):
+                for start, end, items in f.search(w):
+                    hit[start:end] = b"\x01" * (end - start)
+                    found |= items
+        return out
+
+
 def find_benchmark(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -123,51 +155,47 @@ def find_benchmark(
     item_id: str = "item_id",
     item_text: str = "text",
     window: int = 10,
-    max_bytes: int = 64 << 20,
+    max_bytes: int = 8 << 20,
 ) -> DataFrame:
     """One row per document: words, words inside benchmark windows, and the items found (sorted)."""
     ship(docs.sparkSession)
-    tables = searchers(benchmark, item_id, item_text, window, max_bytes)
+    blocks = searchers(benchmark, item_id, item_text, window, max_bytes)
 
     def scan(batches):
-        finders = [WuManber(t.value) for t in tables]
+        finder = Finder(blocks)
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = words(t)
-                hit, found = bytearray(len(w)), set()
-                for f in finders:
-                    for start, end, items in f.search(w):
-                        hit[start:end] = b"\x01" * (end - start)
-                        found |= items
-                names = sorted(found)
-                n_hit = hit.count(1)
-                sha = hashlib.sha256(",".join(names).encode()).hexdigest()
-                for col, v in zip(out, (i, len(w), n_hit, len(names), sha, n_hit > 0, names)):
-                    col.append(v)
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.bool_(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, kinds)],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
-            )
+            for lo, hi in finder.parts(batch.column(1)):
+                ids, texts = (c.slice(lo, hi - lo).to_pylist() for c in batch.columns)
+                out: list[list] = [[], [], [], [], [], [], []]
+                for i, (hit, found) in zip(ids, finder.hits(texts)):
+                    names = sorted(found)
+                    n_hit = hit.count(1)
+                    sha = hashlib.sha256(",".join(names).encode()).hexdigest()
+                    for col, v in zip(out, (i, len(hit), n_hit, len(names), sha, n_hit > 0, names)):
+                        col.append(v)
+                kinds = [pa.int64()] * 4 + [pa.string(), pa.bool_(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(out, kinds)],
+                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
+                )
+        tidy()
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("binary")).mapInArrow(scan, OUT)
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = 10, max_bytes: int = 64 << 20
+    docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = 10, max_bytes: int = 8 << 20
 ) -> DataFrame:
-    """The documents, all columns kept, that hold no benchmark window."""
+    """The documents, all columns kept, that hold no benchmark window; only the text goes to Python."""
     ship(docs.sparkSession)
-    tables = searchers(benchmark, "item_id", "text", window, max_bytes)
-    at = docs.columns.index(text)
+    blocks = searchers(benchmark, "item_id", "text", window, max_bytes)
 
-    def keep(batches):
-        finders = [WuManber(t.value) for t in tables]
-        for batch in batches:
-            clean = [
-                not any(True for f in finders for _ in f.search(words(t))) for t in batch.column(at).to_pylist()
-            ]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+    @F.arrow_udf("boolean")
+    def clean(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        finder = Finder(blocks)
+        for texts in column:
+            got = [not hit.count(1) for lo, hi in finder.parts(texts) for hit, _ in finder.hits(texts.slice(lo, hi - lo).to_pylist())]
+            yield pa.array(got, pa.bool_())
+        tidy()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.where(clean(F.col(text).cast("binary")))

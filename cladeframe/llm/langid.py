@@ -7,8 +7,10 @@ back for the temperature.  N-grams of orders 1 to 3 of the lower-cased text are
 ``2**BITS`` buckets; a document's vector is (n-gram share) x idf.
 
 Defined results: null texts and texts without letters are ``und`` with score 0; null languages and
-null ids are never learned from; where nothing can be learned every text is ``und``; repeated
-documents are scored each; other columns are not read.
+null ids are never learned from, and texts of null ids are predicted as others are; where nothing can
+be learned every text is ``und``; of languages of equal probability the first by name wins; a very long
+text is read whole, in parts that together hold each n-gram once; repeated documents are scored each;
+empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ _LETTER = regex.compile(r"\p{L}")
 _MULT = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
-def ngrams(text: str) -> np.ndarray:
-    """Bucket numbers of all n-grams (1 to 3) of a text, with repeats."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def ngrams(text: str, seen: int = 0) -> np.ndarray:
+    """Bucket numbers of all n-grams (1 to 3) of a text, with repeats, that end after its first ``seen`` characters."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     h, out = c * _MULT[0], []
     for k in range(1, 4):
         if len(c) < k:
@@ -38,18 +40,16 @@ def ngrams(text: str) -> np.ndarray:
         if k > 1:
             h = (h[:-1] ^ (c[k - 1 :] + np.uint32(k))) * _MULT[k - 1]
             h ^= h >> np.uint32(15)
-        out.append((h * _MULT[1]) >> np.uint32(32 - BITS))
+        out.append((h[max(0, seen - k + 1) :] * _MULT[1]) >> np.uint32(32 - BITS))
     return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
-def _chunks(text: str, size: int = 1 << 20):
-    """Parts of a very long text that overlap so that no n-gram is lost (those inside the overlap
-    of two characters, of orders 1 and 2, count twice)."""
-    if len(text) <= size:
-        yield text
-        return
-    for at in range(0, len(text), size):
-        yield text[max(0, at - 2) : at + size]
+def _parts(text: str, size: int = 1 << 20):
+    """The n-grams of a text, a part of it at a time; each is in one part."""
+    text = text.lower()
+    for at in range(0, max(1, len(text)), size):
+        lo = max(0, at - 2)
+        yield ngrams(text[lo : at + size], at - lo)
 
 
 def document_frequencies(docs: DataFrame, text: str) -> np.ndarray:
@@ -59,8 +59,8 @@ def document_frequencies(docs: DataFrame, text: str) -> np.ndarray:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 mark[:] = False
-                for part in _chunks(t or ""):
-                    mark[ngrams(part)] = True
+                for part in _parts(t or ""):
+                    mark[part] = True
                 df[np.flatnonzero(mark)] += 1
                 df[-1] += 1
         at = np.flatnonzero(df)
@@ -78,7 +78,7 @@ def vectors(docs: DataFrame, text: str, lang: str) -> list[tuple[str, np.ndarray
         for batch in batches:
             idx, val = [], []
             for t in batch.column(1).to_pylist():
-                got = [np.unique(ngrams(p), return_counts=True) for p in _chunks(t)]
+                got = [np.unique(p, return_counts=True) for p in _parts(t)]
                 i = np.concatenate([g[0] for g in got])
                 c = np.bincount(i, np.concatenate([g[1] for g in got]), 1 << BITS)
                 at = np.flatnonzero(c)
@@ -99,8 +99,7 @@ class Model:
         if not self.langs or not text or not _LETTER.search(text):
             return "und", 0.0
         total, n = np.zeros(len(self.langs)), 0
-        for part in _chunks(text):
-            at = ngrams(part)
+        for at in _parts(text):
             total += self.w.take(at, axis=0).sum(0, dtype=np.float64)
             n += len(at)
         p = softmax((total / n + self.bias) / self.t)

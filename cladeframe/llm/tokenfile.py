@@ -96,8 +96,7 @@ class Encoder:
         self.known_form &= all(t["content"].startswith("<|") for t in j.get("added_tokens", ()))
         self.chars = byte_chars()
         self.pieces: dict[str, list[int]] = {}
-        self.plain, self.exact = (Hash(k, fold) for k, fold in ((3, True), (5, False))), (Hash(k, False) for k in (7, 9))
-        self.plain, self.exact = tuple(self.plain), tuple(self.exact)
+        self.plain, self.exact = (Hash(3), Hash(5)), (Hash(7, False), Hash(9, False))
         letter = np.zeros(256, bool)
         letter[65:91] = letter[97:123] = True
         sign = np.zeros(256, bool)

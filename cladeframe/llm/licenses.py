@@ -2,15 +2,20 @@
 
 Paragraphs are the lines of a text, and beside them the runs of neighbouring lines that a wrapped
 notice may fill: from a line made of a notice's word pairs on, up to a blank line or twice the
-longest notice.  A confirmed run counts as one paragraph predicted and confirmed.  A sparse multinomial logistic model (FTRL, elastic net) on
-word unigrams and bigrams tells licence families from one another and from ``unknown``; it is
-trained on the notices below, whole and with words left out, against a bounded sample of corpus
-paragraphs, and calibrated by temperature on held-back rows.  A paragraph predicted as a family is
-confirmed when enough of one of the family's notices stands in it.
+longest notice.  A confirmed run counts as one paragraph predicted and confirmed.  A sparse
+multinomial logistic model (FTRL, elastic net) on word unigrams and bigrams tells licence families from
+one another and from ``unknown``; it is trained on the notices below, whole and with words left out,
+against a bounded sample of corpus paragraphs, and calibrated by temperature on held-back rows.  A
+paragraph predicted as a family is confirmed when enough of one of the family's notices stands in it.
+
+A paragraph without any telling word or word pair (one of a notice's, whose weight speaks for a family
+more than for ``unknown``) is unknown.  Texts without any are found by word hashes, as arrays; the
+others are read line by line.
 
 Defined results: a null or empty text has no paragraphs and no licence; blank lines are no
-paragraphs; a text may carry several families, listed in order; repeated documents are scanned
-each; other columns are not read.
+paragraphs; a text may carry several families, listed in order; of families or paragraphs of equal
+probability the first wins; very long texts are scanned whole; repeated documents are scanned each; an
+empty table gives no rows, and a model of the notices alone; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import sampled, ship
 from .ftrl import FTRL, logits, softmax, temperature
+from .words import Hash, flat, mix, places, slices, tidy
 
-#: Notices by family.
+#: Notices by family, besides those that ``notices`` makes of names and sentences.
 TEMPLATES = {
     "agpl": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
@@ -44,12 +50,20 @@ TEMPLATES = {
         "Released under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
+    "boost": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
     "cc": [
         "Licensed under CC BY-NC 4.0.",
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike License.",
     ],
+    "epl": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
@@ -78,6 +92,7 @@ TEMPLATES = {
     ],
     "proprietary": [
         "All rights reserved.",
+        "Copyright by the company. All rights reserved.",
         "This software is proprietary and confidential.",
         "Unauthorized copying of this file, via any medium, is strictly prohibited.",
     ],
@@ -86,8 +101,46 @@ TEMPLATES = {
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary.",
         "SPDX-License-Identifier: Unlicense",
     ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+        "SPDX-License-Identifier: Zlib",
+    ],
 }
+#: Names of the licences of a family, and sentences that name one.
+NAMES = {
+    "agpl": ["GNU Affero General Public License", "AGPL", "AGPLv3"],
+    "apache": ["Apache License 2.0", "Apache License, Version 2.0", "Apache-2.0 license"],
+    "boost": ["Boost Software License", "BSL-1.0"],
+    "bsd": ["BSD License", "BSD 2-Clause License", "BSD 3-Clause License"],
+    "cc": ["Creative Commons Attribution License", "Creative Commons Attribution-ShareAlike 4.0 License", "CC BY 4.0"],
+    "epl": ["Eclipse Public License", "EPL 2.0"],
+    "gpl": ["GNU General Public License", "GPL", "GPLv2", "GPLv3"],
+    "isc": ["ISC License"],
+    "lgpl": ["GNU Lesser General Public License", "LGPL", "LGPLv3"],
+    "mit": ["MIT License"],
+    "mpl": ["Mozilla Public License 2.0", "MPL 2.0"],
+    "unlicense": ["Unlicense"],
+    "zlib": ["zlib License"],
+}
+SENTENCES = [
+    "Released under the {}.",
+    "Licensed under the {}.",
+    "This project is licensed under the {}.",
+    "Distributed under the terms of the {}.",
+    "This software is made available under the {}, see the LICENSE file.",
+    "Use of this source code is governed by the {}.",
+    "The code in this repository is covered by the {}.",
+]
 FAMILIES = sorted(TEMPLATES)
+
+
+def notices(sentences: list[str] = SENTENCES) -> dict[str, list[str]]:
+    """All notices by family: the templates, and each name in each sentence."""
+    return {f: list(dict.fromkeys([*TEMPLATES[f], *(x.format(n) for n in NAMES.get(f, ()) for x in sentences)])) for f in FAMILIES}
+
+
+NOTICES = notices()
 CLASSES = [*FAMILIES, "unknown"]
 BITS = 18
 #: Background lines of the classifier, about: a hash sample of all lines of the sampled documents.
@@ -113,7 +166,7 @@ def vector(w: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _template_sets() -> list[tuple[int, frozenset]]:
-    return [(k, frozenset(grams(words(t)))) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
+    return [(k, frozenset(grams(words(t)))) for k, f in enumerate(FAMILIES) for t in NOTICES[f]]
 
 
 _SETS = _template_sets()
@@ -126,14 +179,50 @@ def template_match(w: list[str]) -> tuple[int, float]:
     return -k, share
 
 
+#: ASCII letters and digits; other bytes part words where only candidates are looked for.
+_OTHER = np.array([not (chr(b).isalnum() and b < 128) for b in range(256)])
+_HASH = Hash(31)
+
+
+def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * np.uint64(3) ^ right)
+
+
 class Model:
-    def __init__(self, w: np.ndarray, bias: np.ndarray, t: float):
+    def __init__(self, w: np.ndarray, bias: np.ndarray, t: float, notices: dict[str, list[str]]):
         self.bias, self.t = bias, t
         at = np.flatnonzero(np.abs(w).sum(1) > 0)
         self.w = {int(i): w[i] for i in at}
         gain = w[:, :-1].max(1) - w[:, -1]
-        #: Buckets that can speak for a family; a text without any is unknown throughout.
-        self.telling = {int(i) for i in np.flatnonzero(gain > 0)} if bias[:-1].max() < bias[-1] else None
+        cut = [words(x) for f in notices for x in notices[f]]
+        #: Words and pairs of notices that can speak for a family; a text without any is unknown
+        #: throughout (None where the bias alone may speak for one).
+        self.telling = None
+        if bias[:-1].max() < bias[-1]:
+            self.telling = {word for x in cut for word in x if gain[bucket(word)] > 0}
+            self.pairs = {(a, b) for x in cut for a, b in zip(x, x[1:]) if gain[bucket(f"{a} {b}")] > 0}
+            one = lambda x: np.array([_HASH.plain(w.encode()) for w in x], np.uint64)
+            pairs = sorted(self.pairs)
+            numbers = np.concatenate([one(sorted(self.telling)), _pair(one([a for a, _ in pairs]), one([b for _, b in pairs]))])
+            self.numbers = np.sort(numbers)
+            self.low = np.zeros(1 << 16, bool)
+            self.low[(numbers & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+    def candidates(self, column: pa.Array) -> np.ndarray:
+        """Texts of a column that hold a telling word or pair, or may."""
+        if self.telling is None:
+            return np.ones(len(column), bool)
+        raw, at = flat(column)
+        starts, ends, first = places(raw, at, None, _OTHER)
+        out = np.zeros(len(column), bool)
+        h = _HASH.prefix(raw, starts, ends)
+        for numbers in (h, _pair(h[:-1], h[1:])):
+            some = np.flatnonzero(self.low[(numbers & np.uint64(0xFFFF)).astype(np.int64)])
+            if len(some) and len(self.numbers):
+                k = np.minimum(np.searchsorted(self.numbers, numbers[some]), len(self.numbers) - 1)
+                some = some[self.numbers[k] == numbers[some]]
+                out[np.searchsorted(first, some, side="right") - 1] = True
+        return out
 
     def predict(self, w: list[str]) -> tuple[int, float]:
         """(class, calibrated probability) of a paragraph's words."""
@@ -147,8 +236,8 @@ class Model:
         return k, float(p[k])
 
 
-def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bound: int = 200, seed: int = 3) -> Model:
-    """Train on the notices and on about ``LINES`` different lines of about ``bound`` documents."""
+def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bound: int = 200, seed: int = 3, notices: dict[str, list[str]] = NOTICES) -> Model:
+    """Train on ``notices`` (by family) and on about ``LINES`` different lines of about ``bound`` documents."""
     ship(docs.sparkSession)
     n = docs.count()
     lines = sampled(docs.where(F.col(text).isNotNull()), n, bound, doc_id).select(F.explode(F.split(F.col(text), "\n")).alias("p")).distinct()
@@ -158,10 +247,12 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bound: i
     other = [w for p in plain if (w := words(p)) and template_match(w)[1] < 0.5]
     rng.shuffle(other)
     rows, y = [], []
+    most = max(map(len, notices.values()))
     for k, f in enumerate(FAMILIES):
-        for t in TEMPLATES[f]:
+        for t in notices.get(f, ()):
             w = words(t)
-            for turn in range(24):
+            # Families of few notices are shown as often as those of many.
+            for turn in range(24 * -(-most // len(notices[f]))):
                 keep = [x for x in w if turn == 0 or rng.random() > 0.15]
                 if other and turn % 3 == 2:
                     more = other[int(rng.integers(len(other)))][:12]
@@ -170,7 +261,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bound: i
                 y.append(k)
     # Single words of notices, and words that any text may hold, are not enough for a licence.
     for f in FAMILIES:
-        for t in TEMPLATES[f]:
+        for t in notices.get(f, ()):
             for x in words(t):
                 rows.append(vector([x]))
                 y.append(len(FAMILIES))
@@ -182,13 +273,13 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bound: i
     model = FTRL(len(CLASSES), 1 << BITS, alpha=0.5, l1=0.3, l2=0.01).fit([rows[i] for i in np.flatnonzero(~held)], labels[~held], epochs=3)
     w, bias = model.weights()
     back = np.flatnonzero(held)
-    return Model(w, bias, temperature(logits([rows[i] for i in back], w, bias), labels[back]))
+    return Model(w, bias, temperature(logits([rows[i] for i in back], w, bias), labels[back]), notices)
 
 
 OUT = "doc_id long, n_paragraphs long, n_predicted long, n_confirmed long, family string, families array<string>, score double"
 
 
-def scan_text(text: str | None, model: Model, seen: dict, limit: float = 0.5, share: float = 0.6) -> tuple:
+def scan_text(text: str | None, model: Model, limit: float = 0.5, share: float = 0.6) -> tuple:
     """The columns of OUT after the id."""
     lines = [words(x) if x.strip() else None for x in text.split("\n")] if text else []
     best, found = (0.0, None), set()
@@ -216,18 +307,8 @@ def scan_text(text: str | None, model: Model, seen: dict, limit: float = 0.5, sh
             pairs = list(zip(w, [*w[1:], *after[:1]]))
             if pairs and 2 * sum(x in _PAIRS for x in pairs) >= len(pairs):
                 starts.append(i)
-        if model.telling is not None:
-            for x in w:
-                ok = seen.get(x)
-                if ok is None:
-                    if len(seen) > 300_000:
-                        seen.clear()
-                    ok = seen[x] = bucket(x) in model.telling
-                if ok:
-                    break
-            else:
-                if not any(bucket(f"{a} {b}") in model.telling for a, b in zip(w, w[1:]) if (a, b) in _PAIRS):
-                    continue
+        if model.telling is not None and model.telling.isdisjoint(w) and model.pairs.isdisjoint(zip(w, w[1:])):
+            continue
         states[i] = judged(w)
     done, wrapped = 0, 0
     for i in starts:
@@ -251,9 +332,9 @@ def scan_text(text: str | None, model: Model, seen: dict, limit: float = 0.5, sh
 
 
 #: Words of the longest notice.
-_LONGEST = max(len(words(t)) for f in FAMILIES for t in TEMPLATES[f])
-#: Word pairs of the notices.  A paragraph with no telling word and no telling pair among these is unknown.
-_PAIRS = {(a, b) for f in FAMILIES for t in TEMPLATES[f] for w in [words(t)] for a, b in zip(w, w[1:])}
+_LONGEST = max(len(words(t)) for f in FAMILIES for t in NOTICES[f])
+#: Word pairs of the notices.
+_PAIRS = {(a, b) for f in FAMILIES for t in NOTICES[f] for w in [words(t)] for a, b in zip(w, w[1:])}
 
 
 def scan(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,11 +344,22 @@ def scan(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m, seen = sent.value, {}
+        m = sent.value
         for batch in batches:
-            got = [scan_text(t, m, seen) for t in batch.column(1).to_pylist()]
-            cols = list(zip(*got)) if got else [()] * 6
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.string()), pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(cols, kinds))], ["doc_id", "n_paragraphs", "n_predicted", "n_confirmed", "family", "families", "score"])
+            for lo, hi in slices(batch.column(1)):
+                texts = batch.column(1).slice(lo, hi - lo)
+                may = m.candidates(texts)
+                got = [scan_text(t, m) if x else (lines(t), 0, 0, None, [], 0.0) for t, x in zip(texts.to_pylist(), may.tolist())]
+                kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.string()), pa.float64()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), *(pa.array(list(c), k) for c, k in zip(zip(*got), kinds))],
+                    ["doc_id", "n_paragraphs", "n_predicted", "n_confirmed", "family", "families", "score"],
+                )
+        tidy()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, OUT)
+
+
+def lines(text: str | None) -> int:
+    """The lines of a text that are not blank."""
+    return sum([not x.isspace() for x in text.split("\n") if x]) if text else 0

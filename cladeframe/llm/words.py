@@ -52,12 +52,12 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[int(at[0]) : int(at[-1])], at.astype(np.int64) - int(at[0])
 
 
-def places(raw: np.ndarray, at: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def places(raw: np.ndarray, at: np.ndarray, cut: np.ndarray | None = None, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends) of all words, and the number of the first word of each text (one more at the end).
-    Where ``cut`` is true, which is inside words alone, another word starts."""
+    Where ``cut`` is true, which is inside words alone, another word starts; ``space`` are the bytes of no word."""
     if not len(raw):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(at), np.int64)
-    solid = ~_SPACE[raw]
+    solid = ~space[raw]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]

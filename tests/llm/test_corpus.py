@@ -107,7 +107,7 @@ def test_token_files_round_trip(spark, odd):
     at, left = 0, collections.Counter()
     for i, x in rows:
         left[i, zlib.crc32(np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4").tobytes())] += 1
-    assert [r.doc_id for r in got] == sorted(i for i, _ in rows)
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
     for r in got:
         assert r.start == at
         at += r.n_tokens
@@ -120,6 +120,50 @@ def test_token_files_round_trip(spark, odd):
     assert tokenfile.read_tokens(spark, none).count() == 0
 
 
+def test_token_file_footers(spark, tmp_path):
+    """Encodings, row groups and page indexes, as the files' footers tell them."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(3)
+    df = frame(spark, [(k, prose(rng, 60)) for k in range(5000)])
+    path = tokenfile.write_tokens(df, vocab("word_bpe_49k.json"), f"file://{tmp_path}/tokens", end_id=2)
+    files = glob.glob(f"{tmp_path}/tokens/tokens/*.parquet")
+    assert files
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            cols = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            for name in ("part", "doc_id", "local_start", "n_tokens"):
+                assert "DELTA_BINARY_PACKED" in cols[name].encodings and cols[name].has_column_index and cols[name].has_offset_index
+            ids = cols["tokens.list.element"]
+            assert {"RLE_DICTIONARY", "PLAIN_DICTIONARY"} & set(ids.encodings) or "DELTA_BINARY_PACKED" in ids.encodings
+            assert ids.has_offset_index and ids.compression == "ZSTD"
+    assert tokenfile.read_tokens(spark, path).where("doc_id = 77").count() == 1
+
+
+def test_encoder_equals_the_library_on_any_text():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = vocab("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), tokenfile.Encoder(open(path, "rb").read())
+    assert e.known_form
+    rng = random.Random(5)
+    pools = [[chr(c) for c in range(32, 127)], list("aAbB'sStTdD.,;!?<|>-12 \n\t\x0b\x1c\x85\xa0"), [chr(c) for c in range(0xA0, 0x250)] + list("hHaAeE \u0338\u0331\u0301="), [chr(rng.randrange(32, 0x3000)) for _ in range(80)]]
+    texts = ["".join(rng.choice(pools[k % 4]) for _ in range(rng.randint(0, 50))) for k in range(2500)] + [None, "", "a<|endoftext|>b <|ENDOFTEXT|>", "x" * 5000, "H\u0331 h\u0331 \u1e96 don't 'sx"]
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+    for room in (300, 500_000):
+        e.clear(room)
+        ids, n = e.encode(pa.array([None, *texts], pa.string()).slice(1), 2)
+        ends = np.cumsum(n)
+        assert [ids[b - k : b].tolist() for k, b in zip(n, ends)] == want
+    e.known_form = False
+    ids, n = e.encode(pa.array(texts[:50], pa.string()), 2)
+    assert ids.tolist() == [i for w in want[:50] for i in w] and n.tolist() == [len(w) for w in want[:50]]
+
+
 # 10 ------------------------------------------------------------------------------------------------
 
 
@@ -347,6 +391,88 @@ def test_language_id_on_held_out_rows(spark, odd):
     assert {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
 
 
+def plain_ngrams(text):
+    """Buckets of a text's n-grams by the stated hash, one at a time."""
+    m, c, out = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), [ord(x) for x in text.lower()], []
+    full = (1 << 32) - 1
+    for k in (1, 2, 3):
+        for i in range(len(c) - k + 1):
+            h = c[i] * m[0] & full
+            for j in range(2, k + 1):
+                h = (h ^ (c[i + j - 1] + j)) * m[j - 1] & full
+                h ^= h >> 15
+            out.append((h * m[1] & full) >> (32 - langid.BITS))
+    return out
+
+
+def test_language_id_equals_plain_formulas(spark):
+    rng = random.Random(8)
+    langs = {"xx": "aeiou", "yy": "aioubc", "zz": "klmno\u00e9"}
+    rows = [(k, prose(rng, 12, langs[l]), l) for k, l in enumerate(list(langs) * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, bound=10_000, epochs=1)
+    n, df_ = len(rows), collections.Counter(b for _, t, _ in rows for b in set(plain_ngrams(t)))
+    idf = lambda b: math.log((1 + n) / (1 + df_[b])) + 1
+
+    def vector(t):
+        c = collections.Counter(plain_ngrams(t))
+        return {b: m / sum(c.values()) * idf(b) * langid.SCALE for b, m in c.items()}
+
+    # The same examples in the same order, one weight at a time.
+    order = sorted(rows, key=lambda r: (r[2], len(set(plain_ngrams(r[1])))))
+    shares = langid.vectors(df, "text", "lang")
+    shares.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()[:64], r[2].tobytes()[:64]))
+    got = [{int(b): v * idf(int(b)) * langid.SCALE for b, v in zip(i, w)} for _, i, w in shares]
+    left = [vector(t) for _, t, _ in order]
+    for g in got:
+        assert any(set(g) == set(v) and all(abs(g[b] - v[b]) < 1e-4 for b in g) for v in left)
+    names = sorted(langs)
+    y = [names.index(r[0]) for r in shares]
+    turn = [i for i in range(n) if i % 5 != 4]
+    z, sq = collections.defaultdict(float), collections.defaultdict(float)
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.02, 0.001
+
+    def weight(b, k):
+        lim = 0.0 if b == "bias" else l1
+        if abs(z[b, k]) <= lim:
+            return 0.0
+        return -(z[b, k] - math.copysign(lim, z[b, k])) / ((beta + math.sqrt(sq[b, k])) / alpha + l2)
+
+    def chances(x):
+        s = [sum(v * weight(b, k) for b, v in x.items()) for k in range(3)]
+        e = [math.exp(v - max(s)) for v in s]
+        return [v / sum(e) for v in e]
+
+    for i in np.random.default_rng(7).permutation(len(turn)):
+        x = {**got[turn[i]], "bias": 1.0}
+        p = chances(x)
+        new = []
+        for b, v in x.items():
+            for k in range(3):
+                g = v * (p[k] - (k == y[turn[i]]))
+                new.append((b, k, g, (math.sqrt(sq[b, k] + g * g) - math.sqrt(sq[b, k])) / alpha, weight(b, k)))
+        for b, k, g, step, w in new:
+            z[b, k] += g - step * w
+            sq[b, k] += g * g
+    for t in [r[1] for r in rows[:6]] + ["aeiou klm", "zzz q"]:
+        x = {**vector(t), "bias": 1.0}
+        s = np.array([sum(v * weight(b, k) for b, v in x.items()) for k in range(3)]) / model.t
+        e = np.exp(s - s.max())
+        lang, score = model.predict(t)
+        assert lang == names[int(e.argmax())] and score == pytest.approx(float(e.max() / e.sum()), abs=2e-4)
+
+
+def test_language_id_reads_long_texts_in_parts_alike(monkeypatch):
+    rng = random.Random(2)
+    for n in (0, 1, 2, 3, 50, 51, 52, 200):
+        t = prose(rng, n, "abc\u00e9")[:n]
+        whole = sorted(langid.ngrams(t.lower()).tolist())
+        assert whole == sorted(plain_ngrams(t))
+        for size in (1, 2, 3, 7, 50):
+            parts = [b for p in langid._parts(t, size) for b in p.tolist()]
+            assert sorted(parts) == whole
+
+
 # 6 -------------------------------------------------------------------------------------------------
 
 
@@ -383,6 +509,60 @@ def test_toxicity_on_held_out_and_disguised_rows(spark, toxic_rows, odd):
     assert {r.score for r in toxicity.score(df, nothing).collect()} == {0.0}
 
 
+def test_blanks_are_steps_of_the_lattice(spark, toxic_rows):
+    df = frame(spark, [(i, t) for i, t, _ in toxic_rows])
+    lab = spark.createDataFrame([(i, y) for i, _, y in toxic_rows], "doc_id long, toxic int")
+    model = toxicity.fit(df, lab)
+    d = toxicity.Decoder(model.chars)
+    assert "idiot" in d.run(list("idiot"), toxicity.COST_BLANK).split()
+    clean = "the other an hear then not her"
+    hidden = ["i d i o t", "i  d  i  o  t", "i\td\ni o t", "m o r o n .", "st upid", "los er", "mo ron", "s t u p i d", "1 d 1 0 t", "i d i 0 t"]
+    texts = [(k, f"{clean} {x} {clean}") for k, x in enumerate(hidden)] + [(90, clean), (91, f"{clean} a b c {clean}"), (92, "a\nan he r\n1 2 3 4 5"), (93, None), (94, "")]
+    got = {r.doc_id: r.score for r in toxicity.score(frame(spark, texts), model).collect()}
+    assert sum(got[k] >= 0.5 for k in range(len(hidden))) >= len(hidden) - 2 and all(got[k] < 0.5 for k in (90, 91, 92, 93, 94))
+    assert toxicity.score(empty(spark), model).count() == 0 and toxicity.drop_toxic(empty(spark), model).count() == 0
+
+
+def test_arrays_score_as_token_by_token(spark, toxic_rows, odd):
+    df = frame(spark, [(i, t) for i, t, _ in toxic_rows])
+    lab = spark.createDataFrame([(i, y) for i, _, y in toxic_rows], "doc_id long, toxic int")
+    model = toxicity.fit(df, lab)
+    d, get = toxicity.Decoder(model.chars), model.weight.get
+    import pyarrow as pa
+
+    texts = [t for _, t, _ in toxic_rows[:60]] + [t for _, t in odd] + ["Idiot, IDIOT! idiot.", "xx1d10t l.o.s.e.r $tupid; stu\u0301pid", "st upid idiot", "m o r o n"]
+    scorer = toxicity.Scorer(model)
+    got = scorer.scores(pa.array(texts, pa.string()))
+    for t, score in zip(texts, got):
+        raw, at = words.flat(pa.array([t], pa.string()))
+        s, e, first = toxicity.cores(raw, at)
+        w = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(s, e)]
+        of = lambda x: sum(get(f, 0.0) for f in toxicity.features(x))
+        low = {x.encode().lower().decode() for x in w}
+        total = sum(of(d.restore(x)) for x in low)
+        extra = {}
+        for _, a, b in toxicity.spaced(raw, s, e, first):
+            extra.update((x, of(x)) for x in d.run([v.lower() for v in w[a:b]], toxicity.COST_BLANK).split() if x not in w[a:b])
+        for x, y in zip(w, w[1:]):
+            if all(v.isascii() and v.isalpha() and 1 < len(v) < 24 for v in (x, y)) and get(toxicity.features((x + y).lower())[0], 0.0):
+                extra.update((v, of(v)) for v in d.run([x.lower(), y.lower()], toxicity.COST_JOIN).split() if v not in (x, y))
+        z = model.a * (model.bias + total + sum(extra.values())) + model.b
+        assert score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9), t
+
+
+def test_letters_that_are_not_listed_are_counted(spark):
+    counts = toxicity.char_counts(frame(spark, [(1, "\u0434\u0434 ab 1"), (2, None)])).reshape(toxicity.K, toxicity.K, toxicity.K)
+    assert counts[0, 0, 1] == 1 and counts[0, 1, 1] == 1 and counts[1, 1, 0] == 1 and counts[0, 2, 3] == 1
+
+
+def test_labels_of_held_out_rows_change_nothing(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    flipped = labels.withColumn("toxic", F.when(fold("doc_id", 5) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    learned = fold("doc_id", 5) != 0
+    one, two = (toxicity.fit(docs.where(learned), x.where(learned)) for x in (labels, flipped))
+    assert one.weight == two.weight and (one.a, one.b, one.bias) == (two.a, two.b, two.bias)
+
+
 def test_viterbi_finds_the_cheapest_path():
     rng = np.random.default_rng(1)
     d = toxicity.Decoder(np.log10(rng.dirichlet(np.ones(toxicity.K), size=(toxicity.K, toxicity.K))))
@@ -552,10 +732,42 @@ def test_wrapped_notices_are_confirmed(spark, width, mark):
     notices = [(f, n) for f, all_ in licenses.TEMPLATES.items() for n in all_ if len(n) > 72]
     for f, n in notices:
         lines = [mark + x for x in textwrap.wrap(n, width)]
-        got = licenses.scan_text("\n".join([prose(rng, 9), "", *lines, "", prose(rng, 9)]), model, {})
+        got = licenses.scan_text("\n".join([prose(rng, 9), "", *lines, "", prose(rng, 9)]), model)
         assert len(lines) > 1 and got[3:5] == (f, [f]) and got[0] == len(lines) + 2 and got[2] == 1
     for r in df.collect():
-        assert licenses.scan_text(r.text, model, {})[3] is None
+        assert licenses.scan_text(r.text, model)[3] is None
+
+
+def test_scan_equals_reading_every_line(spark, odd):
+    """The texts that the arrays pass over have no telling word or pair, so reading them finds nothing."""
+    rng = random.Random(11)
+    docs = list(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toLocalIterator())
+    rows = [(r.doc_id, r.text) for r in docs] + [(10_000 + k, t) for k, (_, t) in enumerate(odd)]
+    rows += [(20_000 + k, prose(rng, 9) + sep + n) for k, (n, sep) in enumerate((n, sep) for f in licenses.FAMILIES for n in licenses.TEMPLATES[f] for sep in (" ", "\n", "\u00ab", "\u2014 "))]
+    df = frame(spark, rows)
+    model = licenses.fit(df)
+    got = {r.doc_id: tuple(r)[1:] for r in licenses.scan(df, model).collect()}
+    assert got == {i: licenses.scan_text(t, model) for i, t in rows}
+    assert model.telling is not None and 0 < sum(g[1] > 0 for g in got.values()) < len(rows)
+
+
+def test_sentences_kept_out_of_training_are_told(spark):
+    """Trained on every other sentence, the model tells the family of most notices in the rest, and in
+    wordings that no template has; plain texts are left alone."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = licenses.fit(docs, notices=licenses.notices(licenses.SENTENCES[::2]))
+    tell = lambda x: licenses.CLASSES[model.predict(licenses.words(x))[0]]
+    held = [(f, x.format(n)) for f, names in licenses.NAMES.items() for n in names for x in licenses.SENTENCES[1::2]]
+    other = ["This file is free under the {}", "You may copy it as the {} allows.", "Some parts are under the {}; others are not."]
+    free = [(f, x.format(n)) for f, names in licenses.NAMES.items() for n in names for x in other]
+    told = [np.mean([tell(x) == f for f, x in part]) for part in (held, free)]
+    wrong = np.mean([tell(x) not in (f, "unknown") for f, x in held + free])
+    print(f"told: {told[0]:.3f} of {len(held)} held-out notices, {told[1]:.3f} of {len(free)} free wordings; {wrong:.3f} named wrongly")
+    assert told[0] >= 0.9 and told[1] >= 0.6 and wrong <= 0.05
+    planted = re.compile("|".join(re.escape(n) for f in licenses.NOTICES.values() for n in f))
+    plain = [r.text for r in docs.select("text").collect() if r.text and not planted.search(r.text) and "icens" not in r.text and "reserved" not in r.text]
+    found = [licenses.scan_text(t, model) for t in plain]
+    assert len(plain) > 100 and all(g[3] is None for g in found)
 
 
 def test_late_lines_are_background(spark, monkeypatch):
@@ -577,8 +789,8 @@ def test_notices_of_further_families(spark):
         "This is free and unencumbered software released into the public domain.": "unlicense",
     }
     model = licenses.fit(frame(spark, plain + [(1000 + k, prose(rng, 9) + "\n" + n) for k, n in enumerate(asked)]))
-    assert {n: licenses.scan_text(prose(rng, 9) + "\n" + n, model, {})[3] for n in asked} == asked
-    assert licenses.scan_text("all of it\nthe rights of man\na table is reserved", model, {})[3] is None
+    assert {n: licenses.scan_text(prose(rng, 9) + "\n" + n, model)[3] for n in asked} == asked
+    assert licenses.scan_text("all of it\nthe rights of man\na table is reserved", model)[3] is None
 
 
 # All -----------------------------------------------------------------------------------------------

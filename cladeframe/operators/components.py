@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, drop
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,8 +22,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         step = label.join(near, label.id == near.a).select("id", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         far = label.select(F.col("id").alias("at"), F.col("c").alias("far"))
         new = cut(step.join(far, step.c == far["at"], "left").select("id", "old", F.least("c", F.coalesce("far", "c")).alias("c")))
+        drop(label)
         label = new.select("id", "c")
         if not new.where("c <> old").limit(1).count():
+            drop(e)
             return label.select("id", F.col("c").alias("component"))
 
 

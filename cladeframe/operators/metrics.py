@@ -35,6 +35,18 @@ def micro_f1(counts: DataFrame) -> DataFrame:
     return pairwise_f1(counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "gt")]))
 
 
+def micro_over_files(spark, folders: list[tuple[str, str]]) -> DataFrame:
+    """Micro scores over several runs' files: (predicted, gold) folders of ``mid, cluster`` lines each;
+    mentions whose gold label is "None" are dropped."""
+    from ..sources.tables import read_clusters
+
+    every = None
+    for k, (predicted, gold) in enumerate(folders):
+        rows = restrict_to_gold(read_clusters(spark, predicted), read_clusters(spark, gold).select("mid", F.col("cluster").alias("label"))).withColumn("run", F.lit(k))
+        every = rows if every is None else every.union(rows)
+    return micro_f1(pair_counts(contingency(every, "cluster", "label", "run"), "run"))
+
+
 def b_cubed(cells: DataFrame, *by: str) -> DataFrame:
     """(by, precision, recall, f1): means over mentions of their cluster's and class's agreement."""
     c = cells.groupBy(*by, "cluster").agg(F.sum("n").alias("nc"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,75 +41,131 @@ def best_cross_pair(scores: DataFrame, members: DataFrame, *, budget: int | None
     return both.groupBy("g1", "g2").agg(best).select("g1", "g2", "m.a", "m.b", (-F.col("m.s")).alias("score"))
 
 
-def _matrix_blocks(points: DataFrame, key: str, vec: str, label: str | None, rows: int):
-    """The points as NumPy blocks of at most ``rows`` points, one at a time on the driver."""
-    cols = [key, vec] + ([label] if label else [])
-    batch: list = []
-    for r in points.select(*cols).toLocalIterator(prefetchPartitions=True):
-        batch.append(r)
-        if len(batch) == rows:
-            yield batch
-            batch = []
-    if batch:
-        yield batch
+#: Points of a side that one task of a block grid holds, about, and the products it forms at a time.
+BLOCK, CELLS = 20_000, 4_000_000
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, *, key: str = "pid", vec: str = "vec", other_than: str | None = None, block: int = 100_000) -> DataFrame:
-    """(key, nbr, distance, rank): the exact ``k`` nearest points of each query, itself excluded, ties
-    to the lower key; with ``other_than`` a neighbour must differ in that column.
+def _matrix(column) -> np.ndarray:
+    """A list column of equal lengths as rows of a matrix."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    return x.reshape(len(flat), -1) if len(flat) else np.empty((0, 0))
+
+
+def _blocks(n: int, block: int, tasks: int, cells: int) -> int:
+    """Blocks of a side, so that each is small and there is work for ``tasks`` tasks, if there is any."""
+    return max(1, -(-n // block), min(tasks, -(-n // cells)))
 
-    Points are broadcast in blocks of a fixed number of rows (a bounded size), each block is one
-    pass of matrix products over the queries, and the best ``k`` of the blocks are then kept.
+
+def cross_grid(left: DataFrame, right: DataFrame, work, schema: str, *, key: str = "pid", block: int = BLOCK) -> DataFrame:
+    """The rows that ``work(left block, right block)``, over Arrow tables, gives for each two blocks.
+
+    Both sides are dealt out by a hash of the key; a row of one side goes to one task for each block
+    of the other, so no side passes the driver and no task holds more than a block of either.
     """
-    spark = queries.sparkSession
+    spark = left.sparkSession
+    ship(spark)
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    m, n = _blocks(left.count(), block, tasks, 64), _blocks(right.count(), block, 1, 1 << 62)
+    at = lambda of: F.pmod(F.xxhash64(key, F.lit(23)), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    a = left.withColumn("_i", at(m)).withColumn("_j", every(n)).groupBy("_i", "_j")
+    # Named anew: both sides may stem from one table.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    b = right.withColumn("_j", at(n)).withColumn("_i", every(m)).groupBy("_i", "_j")
+    return a.cogroup(b).applyInArrow(work, schema)
+
+
+def self_grid(points: DataFrame, work, schema: str, *, key: str = "pid", block: int = BLOCK) -> DataFrame:
+    """The rows that ``work(block, other block or None)`` gives for each block and each two blocks of
+    one side; each pair of rows meets in one task."""
+    spark = points.sparkSession
     ship(spark)
-    found = None
-    for rows in _matrix_blocks(points, key, vec, other_than, block):
-        ids = np.array([r[0] for r in rows])
-        order = np.argsort(ids, kind="stable")
-        x = np.array([rows[i][1] for i in order], float)
-        tags = np.array([rows[i][2] for i in order]) if other_than else None
-        sent = spark.sparkContext.broadcast((ids[order], x, (x * x).sum(1), tags))
-
-        def run(batches, sent=sent):
-            ids, x, sq, tags = sent.value
-            for pdf in batches:
-                for at in range(0, len(pdf), 512):
-                    part = pdf.iloc[at : at + 512]
-                    q = np.array(part[vec].tolist(), float)
-                    d = (q * q).sum(1)[:, None] + sq[None] - 2 * q @ x.T
-                    d[part[key].to_numpy()[:, None] == ids[None]] = np.inf
-                    if tags is not None:
-                        d[part[other_than].to_numpy()[:, None] == tags[None]] = np.inf
-                    m = min(d.shape[1], k + 8)
-                    cand = np.sort(np.argpartition(d, m - 1, axis=1)[:, :m], axis=1)
-                    exact = np.sqrt(((q[:, None, :] - x[cand]) ** 2).sum(2))
-                    exact[np.isinf(np.take_along_axis(d, cand, 1))] = np.inf
-                    best = np.argsort(exact, axis=1, kind="stable")[:, :k]
-                    nb, dist = np.take_along_axis(cand, best, 1), np.take_along_axis(exact, best, 1)
-                    out = pd.DataFrame({key: np.repeat(part[key].to_numpy(), nb.shape[1]), "nbr": ids[nb].ravel(), "distance": dist.ravel()})
-                    yield out[np.isfinite(out["distance"])]
-
-        kind = dict(queries.dtypes)[key]
-        cols = [key, vec] + ([other_than] if other_than else [])
-        part = queries.select(*cols).mapInPandas(run, f"{key} {kind}, nbr {kind}, distance double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return queries.select(F.col(key), F.col(key).alias("nbr"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).where("false")
+    tasks = math.isqrt(4 * spark.sparkContext.defaultParallelism)
+    n = _blocks(points.count(), block, tasks, 64)
+    mine = F.pmod(F.xxhash64(key, F.lit(23)), F.lit(n)).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(F.least(F.col("_m"), j).alias("i"), F.greatest(F.col("_m"), j).alias("j")))
+    dealt = points.withColumn("_m", mine).withColumn("_p", F.explode(pairs)).select(*points.columns, "_m", F.col("_p.i").alias("_i"), F.col("_p.j").alias("_j"))
+
+    def run(key_, table):
+        i, j = (k.as_py() for k in key_)
+        first = pc.equal(table["_m"], i)
+        return work(table.filter(first), table.filter(pc.invert(first)) if i != j else None)
+
+    return dealt.groupBy("_i", "_j").applyInArrow(run, schema)
+
+
+def knn(queries: DataFrame, points: DataFrame, k: int, *, key: str = "pid", vec: str = "vec", other_than: str | None = None, block: int = BLOCK) -> DataFrame:
+    """(key, nbr, distance, rank): the exact ``k`` nearest points of each query, itself excluded, ties
+    to the lower key; with ``other_than`` a neighbour must differ in that column (nulls differ from
+    nothing).  Rows without a key or a vector are left out, on both sides.
+
+    Blocks of queries meet blocks of points in tasks, whose best ``k`` are then compared; every point as
+    near as the k-th of a block, but for rounding, is measured exactly and ordered by distance and key.
+    """
+    cols = [key, vec] + ([other_than] if other_than else [])
+    kind = dict(queries.dtypes)[key]
+
+    def work(asked, given):
+        ids, mine = (np.array(t[key].to_pylist()) for t in (given, asked))
+        order = np.argsort(ids, kind="stable") if len(ids) else np.empty(0, np.int64)
+        ids, out = ids[order], []
+        if len(ids) and len(mine):
+            x, q_all = _matrix(given[vec])[order], _matrix(asked[vec])
+            tags = [t[other_than].to_pylist() for t in (asked, given)] if other_than else None
+            theirs = np.array(tags[1], object)[order] if tags else None
+            sq = (x * x).sum(1)
+            step = max(1, CELLS // max(1, len(ids)))
+            for at in range(0, len(mine), step):
+                q, me = q_all[at : at + step], mine[at : at + step]
+                qq = (q * q).sum(1)
+                d = qq[:, None] + sq[None] - 2 * q @ x.T
+                d[me[:, None] == ids[None]] = np.inf
+                if tags:
+                    own = np.array(tags[0][at : at + step], object)
+                    d[(own[:, None] == theirs[None]) | np.equal(own, None)[:, None] | np.equal(theirs, None)[None]] = np.inf
+                kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                kth = np.where(np.isinf(kth), np.where(np.isinf(d), -np.inf, d).max(1), kth)
+                i, j = np.nonzero(d <= (kth + 1e-9 * (qq + sq.max() + 1))[:, None])
+                far = np.empty(len(i))
+                for lo in range(0, len(i), 50_000):
+                    a, b = i[lo : lo + 50_000], j[lo : lo + 50_000]
+                    far[lo : lo + 50_000] = np.sqrt(((q[a] - x[b]) ** 2).sum(1))
+                by = np.lexsort((j, far, i))
+                i, j, far = i[by], j[by], far[by]
+                turn = np.arange(len(i)) - np.searchsorted(i, i)
+                keep = turn < k
+                out.append((me[i[keep]], ids[j[keep]], far[keep]))
+        got = [np.concatenate(c) for c in zip(*out)] if out else [np.array([], mine.dtype if len(mine) else np.int64)] * 2 + [np.empty(0)]
+        types = [asked.schema.field(key).type] * 2 + [pa.float64()]
+        return pa.table([pa.array(c.tolist() if t != pa.float64() else c, t) for c, t in zip(got, types)], names=[key, "nbr", "distance"])
+
+    sides = [df.select(*cols).where(F.col(key).isNotNull() & F.col(vec).isNotNull()) for df in (queries, points)]
+    found = cross_grid(*sides, work, f"{key} {kind}, nbr {kind}, distance double", key=key, block=block)
     w = Window.partitionBy(key).orderBy("distance", "nbr")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def approximate_knn(points: DataFrame, k: int, *, key: str = "pid", vec: str = "vec", bucket: float = 1.0, tables: int = 8, radius: float = 2.0, seed: int = 11) -> DataFrame:
-    """(key, nbr, distance, rank) by random projections: candidates share a bucket of some table."""
+def approximate_knn(points: DataFrame, k: int, *, key: str = "pid", vec: str = "vec", bucket: float | None = None, tables: int = 8, radius: float | None = None, seed: int = 11) -> DataFrame:
+    """(key, nbr, distance, rank) by random projections: candidates share a bucket of some table.
+
+    Without ``bucket`` and ``radius`` they follow from the points: a bucket is about the spread of one
+    coordinate, and no neighbour is too far.  Points that find fewer than ``k`` are searched exactly.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
+    points = points.where(F.col(key).isNotNull() & F.col(vec).isNotNull())
+    if bucket is None:
+        flat = points.select(F.posexplode(vec).alias("at", "x")).groupBy("at").agg(F.stddev_pop("x").alias("s"))
+        bucket = 2 * float(flat.agg(F.sqrt(F.avg(F.col("s") * F.col("s")))).first()[0] or 0) or 1.0
     rows = points.select(key, array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
-    near = model.approxSimilarityJoin(rows, rows, radius, "distance").select(F.col(f"datasetA.{key}").alias(key), F.col(f"datasetB.{key}").alias("nbr"), "distance").where(F.col(key) != F.col("nbr"))
+    near = model.approxSimilarityJoin(rows, rows, radius if radius is not None else float("inf"), "distance").select(F.col(f"datasetA.{key}").alias(key), F.col(f"datasetB.{key}").alias("nbr"), "distance").where(F.col(key) != F.col("nbr"))
     w = Window.partitionBy(key).orderBy("distance", "nbr")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    near = cut(near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    full = near.where(F.col("rank") == k).select(key)
+    return near.join(full, key, "left_semi").unionByName(knn(points.join(full, key, "left_anti"), points, k, key=key, vec=vec))
 
 
 def off_limits(candidates: DataFrame, barred: DataFrame, on: list[str]) -> DataFrame:
@@ -173,76 +230,84 @@ def set_features(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select("*", S.overlap(a, b).alias("overlap"), S.set_cosine(a, b).alias("set_cosine"), S.jaccard(a, b).alias("jaccard"))
 
 
-def _by_blocks(points: DataFrame, run_with, schema: str, *, key: str, vec: str, label: str | None, block: int) -> DataFrame | None:
-    """The union of ``run_with(block)`` passes over the points, one broadcast of bounded size each."""
-    spark, found = points.sparkSession, None
-    ship(spark)
-    for rows in _matrix_blocks(points, key, vec, label, block):
-        rows.sort(key=lambda r: r[0])
-        sent = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows]) if label else None))
-        part = points.select(*[c for c in (key, vec, label) if c]).mapInPandas(run_with(sent), schema)
-        found = part if found is None else found.union(part)
-    return found
-
-
-def near_pairs(points: DataFrame, cosine: float, *, key: str = "pid", vec: str = "vec", label: str | None = None, block: int = 100_000) -> DataFrame:
-    """(a, b, score[, same]): pairs a < b whose cosine is at least ``cosine``."""
+def near_pairs(points: DataFrame, cosine: float, *, key: str = "pid", vec: str = "vec", label: str | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b, score, same): pairs a < b whose cosine is at least ``cosine``; rows without a vector are
+    left out, and a null label is the same as none."""
     kind = dict(points.dtypes)[key]
-    schema = f"a {kind}, b {kind}, score double, same boolean"
-
-    def run_with(sent):
-        def run(batches):
-            ids, x, tags = sent.value
-            n = np.linalg.norm(x, axis=1)
-            x = x / np.where(n > 0, n, 1)[:, None]
-            for pdf in batches:
-                for at in range(0, len(pdf), 1024):
-                    part = pdf.iloc[at : at + 1024]
-                    q = np.array(part[vec].tolist(), float)
-                    m = np.linalg.norm(q, axis=1)
-                    s = (q / np.where(m > 0, m, 1)[:, None]) @ x.T
-                    mine = part[key].to_numpy()
-                    i, j = np.nonzero((s >= cosine) & (mine[:, None] < ids[None]))
-                    same = part[label].to_numpy()[i] == tags[j] if label else np.zeros(len(i), bool)
-                    yield pd.DataFrame({"a": mine[i], "b": ids[j], "score": s[i, j], "same": same})
-
-        return run
-
-    got = _by_blocks(points, run_with, schema, key=key, vec=vec, label=label, block=block)
-    return got if got is not None else points.sparkSession.createDataFrame([], schema)
-
-
-def group_linkages(points: DataFrame, *, key: str = "pid", vec: str = "vec", label: str = "label", block: int = 100_000) -> DataFrame:
-    """(g1, g2, average, complete, single, log_sum_exp, cosine_average, best_a, best_b) of each two
-    label groups g1 < g2, from partial sums of distance blocks; distances are negated."""
+
+    def side(t):
+        x = _matrix(t[vec])
+        n = np.linalg.norm(x, axis=1)
+        return np.array(t[key].to_pylist()), x / np.where(n > 0, n, 1)[:, None], np.array(t[label].to_pylist(), object) if label else None
+
+    def work(one, other):
+        ids, x, tags = side(one)
+        theirs, y, others = side(other) if other is not None else (ids, x, tags)
+        out = []
+        step = max(1, CELLS // max(1, len(theirs)))
+        for at in range(0, len(ids) if len(theirs) else 0, step):
+            s = x[at : at + step] @ y.T
+            near = s >= cosine
+            if other is None:
+                near &= ids[at : at + step, None] < theirs[None]
+            i, j = np.nonzero(near)
+            a, b, flip = ids[at + i], theirs[j], ids[at + i] > theirs[j]
+            same = np.array([u is not None and u == v for u, v in zip(tags[at + i], others[j])], bool) if label else np.zeros(len(i), bool)
+            out.append((np.where(flip, b, a), np.where(flip, a, b), s[i, j], same))
+        got = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 4
+        kinds = [one.schema.field(key).type] * 2 + [pa.float64(), pa.bool_()]
+        return pa.table([pa.array(list(c), k) for c, k in zip(got, kinds)], names=["a", "b", "score", "same"])
+
+    rows = points.select(*[c for c in (key, vec, label) if c]).where(F.col(key).isNotNull() & F.col(vec).isNotNull())
+    return self_grid(rows, work, f"a {kind}, b {kind}, score double, same boolean", key=key, block=block)
+
+
+def group_linkages(points: DataFrame, *, key: str = "pid", vec: str = "vec", label: str = "label", block: int = BLOCK) -> DataFrame:
+    """(g1, g2, average, complete, single, log_sum_exp, cosine_average, cosine_complete, best_a, best_b)
+    of each two label groups g1 < g2, from partial sums of distance blocks; distances are negated.
+    Rows without a label or a vector are left out."""
     kinds = dict(points.dtypes)
     k, l = kinds[key], kinds[label]
-    schema = f"g1 {l}, g2 {l}, n long, s double, lo double, hi double, e double, c double, a {k}, b {k}"
-
-    def run_with(sent):
-        def run(batches):
-            ids, x, tags = sent.value
-            sq, xn = (x * x).sum(1), np.linalg.norm(x, axis=1)
-            groups = {g: np.flatnonzero(tags == g) for g in np.unique(tags)}
-            for pdf in batches:
-                out = []
-                for g1, part in pdf.groupby(label, sort=True):
-                    part = part.sort_values(key, kind="stable")
-                    mine = part[key].to_numpy()
-                    q = np.array(part[vec].tolist(), float)
-                    dots = q @ x.T
-                    d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + sq[None] - 2 * dots, 0))
-                    den = np.linalg.norm(q, axis=1)[:, None] * xn[None]
+    names = ["g1", "g2", "n", "s", "lo", "hi", "e", "c", "cl", "a", "b"]
+
+    def side(t):
+        order = pc.sort_indices(t, sort_keys=[(label, "ascending"), (key, "ascending")])
+        t = t.take(order)
+        x, tags = _matrix(t[vec]), np.array(t[label].to_pylist())
+        first = np.flatnonzero(np.concatenate([[True], tags[1:] != tags[:-1]])) if len(tags) else np.empty(0, np.int64)
+        parts = list(zip(tags[first].tolist(), first.tolist(), [*first[1:].tolist(), len(tags)]))
+        return np.array(t[key].to_pylist()), x, parts
+
+    def work(one, other):
+        ids, x, mine = side(one)
+        theirs, y, others = side(other) if other is not None else (ids, x, mine)
+        out = []
+        for g1, a, b in mine:
+            for g2, c, d in others:
+                if g1 == g2 or (other is None and g1 > g2):
+                    continue
+                parts = []
+                for at in range(a, b, step := max(1, CELLS // (d - c))):
+                    p, q = x[at : min(b, at + step)], y[c:d]
+                    dots = p @ q.T
+                    far = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * dots, 0))
+                    den = np.linalg.norm(p, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None]
                     cos = np.divide(dots, den, out=np.zeros_like(dots), where=den > 0)
-                    for g2, at in groups.items():
-                        if g1 < g2:
-                            y = d[:, at]
-                            i, j = np.unravel_index(int(np.argmin(y)), y.shape)
-                            out.append((g1, g2, y.size, y.sum(), y.min(), y.max(), np.exp(-y).sum(), cos[:, at].sum(), mine[i], ids[at[j]]))
-                yield pd.DataFrame(out, columns=["g1", "g2", "n", "s", "lo", "hi", "e", "c", "a", "b"])
-
-        return run
-
-    got = _by_blocks(points, run_with, schema, key=key, vec=vec, label=label, block=block)
+                    lo = far.min()
+                    i, j = np.nonzero(far == lo)
+                    ends = [(ids[at + u], theirs[c + v]) for u, v in zip(i, j)]
+                    best = min(ends if g1 < g2 else [(v, u) for u, v in ends])
+                    parts.append((far.size, far.sum(), lo, far.max(), np.exp(-far).sum(), cos.sum(), cos.min(), *best))
+                for p in parts:
+                    out.append((min(g1, g2), max(g1, g2), *(v.item() if hasattr(v, "item") else v for v in p)))
+        field = lambda n: one.schema.field(n).type
+        types = [field(label)] * 2 + [pa.int64()] + [pa.float64()] * 6 + [field(key)] * 2
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+
+    schema = f"g1 {l}, g2 {l}, n long, s double, lo double, hi double, e double, c double, cl double, a {k}, b {k}"
+    rows = points.select(key, vec, label).where(F.col(key).isNotNull() & F.col(vec).isNotNull() & F.col(label).isNotNull())
+    got = self_grid(rows, work, schema, key=key, block=block)
     n, best = F.sum("n"), F.min(F.struct("lo", "a", "b"))
-    return got.groupBy("g1", "g2").agg((-F.sum("s") / n).alias("average"), (-F.max("hi")).alias("complete"), (-F.min("lo")).alias("single"), F.log(F.sum("e")).alias("log_sum_exp"), (F.sum("c") / n - 1).alias("cosine_average"), best["a"].alias("best_a"), best["b"].alias("best_b"))
+    return got.groupBy("g1", "g2").agg(
+        (-F.sum("s") / n).alias("average"), (-F.max("hi")).alias("complete"), (-F.min("lo")).alias("single"), F.log(F.sum("e")).alias("log_sum_exp"),
+        (F.sum("c") / n - 1).alias("cosine_average"), (F.min("cl") - 1).alias("cosine_complete"), best["a"].alias("best_a"), best["b"].alias("best_b"))

@@ -6,7 +6,7 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.features import PAIR_MODELS, linear_score, pair_features
@@ -49,14 +49,13 @@ def score_pairs(pairs: DataFrame, fitted: dict, a: str = "a_attrs", b: str = "b_
     return pairs.withColumn("score", linear_score(pair_features(fitted["model"], a, b), fitted["weights"], fitted["bias"]))
 
 
-def save(fitted: dict, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(fitted, f, sort_keys=True, indent=1)
+def save(spark: SparkSession, fitted: dict, path: str) -> None:
+    """Write a fitted model as one JSON document, to any file system that Spark writes."""
+    spark.createDataFrame([(json.dumps(fitted, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def load(path: str) -> dict:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+def load(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()[0])
 
 
 def merge_episodes(pairs: DataFrame, members: DataFrame, *, canopy: str = "canopy", size: int = 20, seed: int = 7) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, ship
+from ..session import cut, drop, ship
 
 
 def closure(tree: DataFrame) -> DataFrame:
@@ -22,8 +22,11 @@ def closure(tree: DataFrame) -> DataFrame:
         further = have.where("dist > 0").select(F.col("descendant").alias("mid"), "ancestor", F.col("dist").alias("more"))
         new = cut(edge.join(further, "mid").select("descendant", "ancestor", (F.col("more") + reach).alias("dist")))
         if not new.limit(1).count():
+            drop(new)
             return have
-        have, reach = cut(have.union(new)), reach * 2
+        both = cut(have.union(new))
+        drop(have, new)
+        have, reach = both, reach * 2
 
 
 def depth(up: DataFrame) -> DataFrame:
@@ -100,19 +103,39 @@ def subtree_totals(up: DataFrame, values: DataFrame, *cols: str) -> DataFrame:
     return up.join(v, "descendant").groupBy(F.col("ancestor").alias("node")).agg(*[F.sum(c).alias(c) for c in cols])
 
 
+def subtree_minima(up: DataFrame, tree: DataFrame) -> DataFrame:
+    """(node, low): the least score among a node's inner descendants, itself included (null counts as
+    the least of all); of inner nodes."""
+    inner = tree.where("not is_leaf").select(F.col("node").alias("descendant"), "score")
+    return up.join(inner, "descendant").groupBy(F.col("ancestor").alias("node")).agg(F.min(F.coalesce("score", F.lit(float("-inf")))).alias("low"))
+
+
 def threshold_cut(up: DataFrame, tree: DataFrame, t: float) -> DataFrame:
     """(leaf, cluster): the highest node above each leaf all of whose inner descendants, itself
     included, score at least ``t``; a leaf is always admissible."""
-    inner = tree.where("not is_leaf").select(F.col("node").alias("descendant"), "score")
-    low = up.join(inner, "descendant").groupBy(F.col("ancestor").alias("node")).agg(F.min(F.coalesce("score", F.lit(float("-inf")))).alias("low"))
+    low = subtree_minima(up, tree)
     good = tree.join(low, "node", "left").where(F.col("is_leaf") | (F.col("low") >= t)).select(F.col("node").alias("ancestor"))
     return _highest(up, tree, good)
 
 
 def marker_cut(up: DataFrame, tree: DataFrame, marked: DataFrame) -> DataFrame:
-    """(leaf, cluster): the highest marked node above each leaf, else the leaf."""
-    good = marked.select(F.col("node").alias("ancestor")).union(tree.where("is_leaf").select("node")).distinct()
-    return _highest(up, tree, good)
+    """(leaf, cluster): the last node of the unbroken chain of marked nodes above each leaf, else the
+    leaf.  Marks above an unmarked node are no cluster: ``broken_marks`` lists them."""
+    ends = tree.where("is_leaf").select(F.col("node").alias("descendant"))
+    inner = up.join(ends, "descendant").join(marked.select(F.col("node").alias("ancestor"), F.lit(1).alias("m")).distinct(), "ancestor", "left").where("dist > 0")
+    # Of a leaf's ancestors only the root may be unmarked for the chain to reach the top.
+    stop = inner.groupBy("descendant").agg(F.min(F.when(F.col("m").isNull(), F.col("dist"))).alias("stop"), F.max("dist").alias("top"))
+    at = stop.select("descendant", F.coalesce(F.col("stop") - 1, F.col("top")).alias("dist"))
+    chosen = up.join(at, ["descendant", "dist"]).select(F.col("descendant").alias("leaf"), F.col("ancestor").alias("cluster"))
+    alone = ends.join(at, "descendant", "left_anti").select(F.col("descendant").alias("leaf"), F.col("descendant").alias("cluster"))
+    return chosen.union(alone)
+
+
+def broken_marks(up: DataFrame, marked: DataFrame, tree: DataFrame) -> DataFrame:
+    """(node, above): inner nodes without a mark, and the marked nodes above them."""
+    bare = tree.where("not is_leaf").select("node").join(marked.select("node"), "node", "left_anti")
+    over = up.where("dist > 0").join(marked.select(F.col("node").alias("ancestor")), "ancestor")
+    return over.join(bare, over.descendant == bare.node).select("node", F.col("ancestor").alias("above"))
 
 
 def _highest(up: DataFrame, tree: DataFrame, good: DataFrame) -> DataFrame:
@@ -121,24 +144,40 @@ def _highest(up: DataFrame, tree: DataFrame, good: DataFrame) -> DataFrame:
     return top.groupBy(F.col("descendant").alias("leaf")).agg(F.max(F.struct("dist", "ancestor")).alias("m")).select("leaf", F.col("m.ancestor").alias("cluster"))
 
 
-def dendrogram_purity(up: DataFrame, tree: DataFrame, counts: DataFrame) -> DataFrame:
-    """(purity): mean, over pairs of leaves of a class, of the class's share under their LCA."""
+def dendrogram_purity(up: DataFrame, tree: DataFrame, counts: DataFrame, *by: str) -> DataFrame:
+    """([by,] purity): mean, over pairs of leaves of a class, of the class's share under their LCA; one
+    for each value of columns that ``tree`` has, whose trees share no node."""
     split = counts.join(tree.where(F.col("parent").isNotNull()).select("node", "parent"), "node")
     between = split.groupBy("parent", "label").agg(((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
     total = leaves(up, tree).groupBy("node").agg(F.count("*").alias("n_all"))
     share = counts.join(total, "node").select(F.col("node").alias("parent"), "label", (F.col("n") / F.col("n_all")).alias("share"))
     got = between.join(share, ["parent", "label"])
-    return got.agg((F.sum(F.col("pairs") * F.col("share")) / F.sum("pairs")).alias("purity"))
+    mean = (F.sum(F.col("pairs") * F.col("share")) / F.sum("pairs")).alias("purity")
+    return got.join(tree.select(F.col("node").alias("parent"), *by), "parent").groupBy(*by).agg(mean) if by else got.agg(mean)
+
+
+def cut_values(up: DataFrame, tree: DataFrame, splits: DataFrame) -> DataFrame:
+    """(score, tp, fp) for ``threshold_sweep``: the pairs that join when a node is in a cluster, which a
+    threshold cut allows up to the least score of its subtree."""
+    return subtree_minima(up, tree).withColumnRenamed("low", "score").join(splits, "node").select("score", "tp", "fp")
 
 
 def threshold_sweep(values: DataFrame, gt_pairs: Column | float) -> DataFrame:
     """(t, tp, fp, f1) for every distinct score t of (score, tp, fp): all rows that score at least t
-    are taken.  One running sum over scores, which are first summed up by score."""
+    are taken.  For the cuts of a tree, score must be the least of a node's subtree (``cut_values``).
+
+    Scores are summed up and dealt out by ranges; the running sums of a range start from the totals
+    of the higher ones, one row a range, so no task sees all scores."""
     from pyspark.sql import Window
 
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = values.groupBy("score").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.select(F.col("score").alias("t"), F.sum("tp").over(w).alias("tp"), F.sum("fp").over(w).alias("fp"))
+    by = cut(by.repartitionByRange(n, F.desc("score")).withColumn("part", F.spark_partition_id()))
+    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = by.groupBy("part").agg(F.sum("tp").alias("tps"), F.sum("fp").alias("fps"))
+    sums = sums.select("part", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("tps", "fps")])
+    w = Window.partitionBy("part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    run = by.join(F.broadcast(sums), "part").select(F.col("score").alias("t"), (F.col("tps") + F.sum("tp").over(w)).alias("tp"), (F.col("fps") + F.sum("fp").over(w)).alias("fp"))
     gt = gt_pairs if isinstance(gt_pairs, Column) else F.lit(gt_pairs)
     d = gt + F.col("tp") + F.col("fp")
     return run.withColumn("f1", F.when(d > 0, 2 * F.col("tp") / d).otherwise(F.lit(0.0)))

@@ -12,24 +12,12 @@ from ..operators import baselines, components, hac, metrics, online, pairs, trai
 from ..session import cut
 from ..sources.tables import attributes, separated_line, table
 from ..streaming.online import windowed_counts
-
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .registry import ORACLE_SQL, QUERIES, query
 
 #: A few English stop words for the word-count query.
 STOP = ["a", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _points(spark, d) -> DataFrame:
     """Vector points (pid, label, vec); one file is one task, so rows are dealt out first."""
     e = table(spark, d, "embeddings").repartition("vec_id")
@@ -448,11 +436,13 @@ def tree_threshold_cut(spark, d):
 
 
 @query("WITH RECURSIVE" + _SQL_HEAP + """
-SELECT u.descendant AS leaf, arg_max(u.ancestor, u.dist) AS cluster FROM up u JOIN tree l ON l.node = u.descendant AND l.is_leaf
-WHERE u.ancestor % 5 = 2 OR u.dist = 0 GROUP BY u.descendant""")
+,
+x AS (SELECT u.descendant AS leaf, coalesce(min(CASE WHEN u.ancestor % 3 = 0 THEN u.dist END) - 1, max(u.dist)) AS at FROM up u JOIN tree l ON l.node = u.descendant AND l.is_leaf WHERE u.dist > 0 GROUP BY 1)
+SELECT x.leaf, u.ancestor AS cluster FROM x JOIN up u ON u.descendant = x.leaf AND u.dist = x.at""")
 def tree_marker_cut(spark, d):
+    """Clusters where the chain of marked nodes above a leaf ends; two nodes in three are marked."""
     t = cut(_heap(spark, d))
-    return trees_sql.marker_cut(trees_sql.closure(t), t, t.where("node % 5 = 2"))
+    return trees_sql.marker_cut(trees_sql.closure(t), t, t.where("node % 3 > 0"))
 
 
 @query("WITH RECURSIVE" + _SQL_HEAP + """,
@@ -511,7 +501,8 @@ def off_limits_pairs(spark, d):
     cand = o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).select("a", "b").distinct()
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("a"), F.col("c_nationkey").alias("nation"))
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("nation_b"))
-    return cand.join(c, "a").join(s, "b").where("nation is null or nation_b is null or nation <> nation_b").select("a", "b")
+    barred = c.join(s, F.col("nation") == F.col("nation_b")).select("a", "b")
+    return pairs.off_limits(cand, barred, ["a", "b"])
 
 
 @query("""
@@ -593,3 +584,6 @@ def pair_model_weights(spark, d):
     p = p.withColumn("label", (S.items("a_attrs", "ln") == S.items("b_attrs", "ln")).cast("double"))
     fit = training.fit_pair_model(training.pair_table(p, "name"), "name")
     return spark.createDataFrame(sorted(fit["weights"].items()), "feature string, weight double")
+
+
+from . import known_trees, mentions, round_trips  # noqa: E402,F401  (they register their queries)

@@ -8,10 +8,11 @@ from dataclasses import asdict, dataclass, field, fields, replace
 
 @dataclass(frozen=True)
 class Config:
-    """Unknown keys of a file are kept in ``other``."""
+    """Unknown keys of a file are kept in ``other``.  ``plans.run`` says what a run reads."""
 
     clustering_scheme: str = "ehac"
     linkage: str = "average"
+    model: str = ""
     pair_model: str = "base"
     merge_model: str = "base_sub_ent"
     nn_k: int = 10
@@ -24,6 +25,9 @@ class Config:
     max_node_rotate_size: int | None = None
     max_num_samples: int = 25
     best_pair_budget: int = 100
+    sample_pairs: bool = False
+    random_order: bool = False
+    skip_unlabeled: bool = False
     mini_batch: int = 1000
     expit_e_score: bool = False
     train_tree_size: int = 20

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or one of our own where it is unset (local runs, tests)."""
+    """The folder in spark.checkpoint.dir; in local runs and tests one of our own where it is unset.  A
+    cluster must name one, as its machines share no temporary folder."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if base:
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not hasattr(sc, "_cladeframe_folder"):
         sc._cladeframe_folder = "file://" + tempfile.mkdtemp(prefix="cladeframe-")
     return sc._cladeframe_folder
@@ -32,6 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*frames: DataFrame) -> None:
+    """Delete the files behind frames that ``cut`` returned, once nothing reads them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            p = jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per context, so that they need no copy of it."""
     sc = spark.sparkContext

@@ -83,6 +83,12 @@ def read_canopies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("canopy")).where("canopy <> ''").distinct()
 
 
+def read_clusters(spark: SparkSession, path: str) -> DataFrame:
+    """(mid, cluster) of tab-separated lines; the cluster "None" is null."""
+    c = F.split("value", "\t")
+    return spark.read.text(path).select(c[0].alias("mid"), F.nullif(c[1], F.lit("None")).alias("cluster"))
+
+
 def of_canopies(points: DataFrame, canopies: DataFrame) -> DataFrame:
     return points.join(canopies, "canopy", "left_semi")
 

@@ -283,8 +283,10 @@ def jaccard_join(docs: DataFrame, spec: Bands = Bands(), *, doc_id: str = "doc_i
     n, group = _groups(sig, docs, spec, doc_id, text)
     classes = sig.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"))
     classes = classes.withColumn("rep", F.xxhash64("key"))
-    least = group.join(classes.select("rep", "copy_id"), "rep").groupBy("group").agg(F.min("copy_id").alias("class_id"))
-    classes = classes.join(n, "rep", "left").join(group.join(least, "group").select("rep", "class_id"), "rep", "left")
+    least = written(group.join(classes.select("rep", "copy_id"), "rep").groupBy("group").agg(F.min("copy_id").alias("class_id")), "minhash-groups")
+    # A group's classes may be many; its name goes to them, as long as the groups are few.
+    named = by_size(group, least, ["group"]).select("rep", "class_id")
+    classes = classes.join(n, "rep", "left").join(named, "rep", "left")
     classes = classes.select("key", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "copy_id").alias("class_id"))
     out = sig.select("doc_id", "key").join(classes, "key", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))

@@ -843,11 +843,36 @@ def test_pipeline_equals_its_operators(spark):
 
 def test_pipeline_stages_take_awkward_rows(spark, odd, tmp_path):
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     d = f"file://{tmp_path}"
     spark.createDataFrame([(i, i % 2, i % 2) for i in range(10)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
-    spark.createDataFrame([(1, "a b c"), (None, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
-    for rows in (odd, []):
-        df = spark.createDataFrame([(i, t, "en", "s", 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, df, d).count()
+    items = [(1, "a b c"), (2, "löser déjà löser"), (None, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    names = "doc_id long, text string, lang string, source string, n_chars long, _rule_stats string, n_words string"
+    stages = dict(corpus_pipeline.STAGES)
+    frame_ = lambda rows: spark.createDataFrame([(i, t, "en", "s", 3, "r", "w") for i, t in rows], names)
+    plain = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    rows = [*odd, (500, "x" * 200_000), (501, "word " * 60_000), (None, odd[9][1])]
+    df = frame_(rows)
+    # Ten labels of short texts teach neither stage anything.
+    assert plain(stages["toxicity"](spark, df, d)) == sorted(rows, key=repr)
+
+    def passes(t):
+        n, *_, repeats = slow_stats(t)
+        return n >= 20 and 100 * repeats <= 30 * n
+
+    good = stages["quality_rules"](spark, df, d)
+    assert good.columns == df.columns and plain(good) == sorted(((i, t) for i, t in rows if passes(t)), key=repr)
+    one = plain(stages["near_duplicates"](spark, df, d))
+    worded = [(k, t) for k, (_, t) in enumerate(rows) if t and t.strip()]
+    group = {rows[k][1]: c for k, c, *_ in slow_groups(worded)}
+    assert sorted(group[t] for _, t in one if t in group) == sorted(set(group.values()))
+    assert sum(not (t or "").strip() for _, t in one) == sum(not (t or "").strip() for _, t in rows)
+    clean = plain(stages["decontamination"](spark, df, d))
+    assert clean == sorted(((i, t) for i, t in rows if not slow_hits(t, items)[-1]), key=repr) and len(clean) < len(rows)
+    tok = Tokenizer.from_file(vocab("byte_bpe_50k.json"))
+    assert by_rows(stages["bpe"](spark, df, d), "doc_id", "n_tokens") == sorted(((i, len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in rows), key=repr)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame_([]), d).count() == 0
+

@@ -8,9 +8,10 @@ one another and from ``unknown``; it is trained on the notices below, whole and
 against a bounded sample of corpus paragraphs, and calibrated by temperature on held-back rows.  A
 paragraph predicted as a family is confirmed when enough of one of the family's notices stands in it.
 
-A paragraph without any telling word or word pair (one of a notice's, whose weight speaks for a family
-more than for ``unknown``) is unknown.  Texts without any are found by word hashes, as arrays; the
-others are read line by line.
+A paragraph is given to the classifier only if its telling words and pairs (those of notices, whose
+weights speak for a family more than for ``unknown``) would make it a family's by themselves; any
+other is unknown.  Texts without such a paragraph, and without a line that may begin a wrapped notice,
+are found by word hashes, as arrays; the others are read line by line.
 
 Defined results: a null or empty text has no paragraphs and no licence; blank lines are no
 paragraphs; a text may carry several families, listed in order; of families or paragraphs of equal
@@ -179,8 +180,10 @@ def template_match(w: list[str]) -> tuple[int, float]:
     return -k, share
 
 
-#: ASCII letters and digits; other bytes part words where only candidates are looked for.
-_OTHER = np.array([not (chr(b).isalnum() and b < 128) for b in range(256)])
+#: Where candidates are looked for, words are ASCII letters and digits and all other bytes above ASCII;
+#: texts with bytes of _ODD, which may be signs, are read in any case.
+_OTHER = np.array([not chr(b).isalnum() and b < 128 for b in range(256)])
+_ODD = np.array([b == 0xC2 or b >= 0xE2 for b in range(256)])
 _HASH = Hash(31)
 
 
@@ -188,40 +191,102 @@ def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * np.uint64(3) ^ right)
 
 
+class _Numbers:
+    """Numbers of some hashes, found for whole arrays."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.order = np.argsort(hashes)
+        self.sorted = hashes[self.order]
+        self.low = np.zeros(1 << 16, bool)
+        self.low[(hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), -1, np.int64)
+        at = np.flatnonzero(self.low[(h & np.uint64(0xFFFF)).astype(np.int64)])
+        if len(at) and len(self.sorted):
+            k = np.minimum(np.searchsorted(self.sorted, h[at]), len(self.sorted) - 1)
+            out[at] = np.where(self.sorted[k] == h[at], self.order[k], -1)
+        return out
+
+
+def _hashes(words_: list[str]) -> np.ndarray:
+    return np.array([_HASH.plain(w.encode()) for w in words_], np.uint64)
+
+
+def _distinct_by_line(line: np.ndarray, h: np.ndarray, lines: int) -> np.ndarray:
+    """How many different hashes each line has."""
+    k = np.sort((line.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32)))
+    new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.empty(0, bool)
+    return np.bincount((k[new] >> np.uint64(32)).astype(np.int64), minlength=lines)
+
+
 class Model:
     def __init__(self, w: np.ndarray, bias: np.ndarray, t: float, notices: dict[str, list[str]]):
         self.bias, self.t = bias, t
         at = np.flatnonzero(np.abs(w).sum(1) > 0)
         self.w = {int(i): w[i] for i in at}
-        gain = w[:, :-1].max(1) - w[:, -1]
+        gain = w[:, :-1] - w[:, -1:]
         cut = [words(x) for f in notices for x in notices[f]]
-        #: Words and pairs of notices that can speak for a family; a text without any is unknown
-        #: throughout (None where the bias alone may speak for one).
-        self.telling = None
-        if bias[:-1].max() < bias[-1]:
-            self.telling = {word for x in cut for word in x if gain[bucket(word)] > 0}
-            self.pairs = {(a, b) for x in cut for a, b in zip(x, x[1:]) if gain[bucket(f"{a} {b}")] > 0}
-            one = lambda x: np.array([_HASH.plain(w.encode()) for w in x], np.uint64)
-            pairs = sorted(self.pairs)
-            numbers = np.concatenate([one(sorted(self.telling)), _pair(one([a for a, _ in pairs]), one([b for _, b in pairs]))])
-            self.numbers = np.sort(numbers)
-            self.low = np.zeros(1 << 16, bool)
-            self.low[(numbers & np.uint64(0xFFFF)).astype(np.int64)] = True
+        speaks = lambda gram: gain[bucket(gram)].max() > 0
+        #: What a family lacks against ``unknown`` where nothing speaks for it.
+        self.margin = bias[-1] - bias[:-1]
+        ones = sorted({x for c in cut for x in c if speaks(x)})
+        twos = sorted({p for c in cut for p in zip(c, c[1:]) if speaks(" ".join(p))})
+        self.one = {x: i for i, x in enumerate(ones)}
+        self.two = {p: len(ones) + i for i, p in enumerate(twos)}
+        self.gain = np.array([gain[bucket(x)] for x in [*ones, *map(" ".join, twos)]]).reshape(-1, len(self.margin))
+        self.words = _Numbers(_hashes(ones))
+        every = sorted(_PAIRS)
+        self.pairs = _Numbers(_pair(_hashes([a for a, _ in every]), _hashes([b for _, b in every])))
+        self.pair_row = np.array([self.two.get(p, -1) for p in every] or [-1], np.int64)
+
+    def may(self, w: list[str]) -> bool:
+        """Whether a paragraph's telling words and pairs make it a family's by themselves."""
+        rows = {self.one[x] for x in w if x in self.one} | {self.two[p] for p in zip(w, w[1:]) if p in self.two}
+        n = len(set(w)) + len(set(zip(w, w[1:])))
+        z = self.gain[sorted(rows)].sum(0) if rows else np.zeros(len(self.margin))
+        return bool((z / max(1, n) ** 0.5 > self.margin).any())
 
     def candidates(self, column: pa.Array) -> np.ndarray:
-        """Texts of a column that hold a telling word or pair, or may."""
-        if self.telling is None:
+        """Texts of a column in which ``may`` holds for a line, or a wrapped notice may begin, or that are
+        not plain enough to tell."""
+        if (self.margin <= 0).any():
             return np.ones(len(column), bool)
         raw, at = flat(column)
         starts, ends, first = places(raw, at, None, _OTHER)
         out = np.zeros(len(column), bool)
+        odd = np.flatnonzero(_ODD[raw])
+        out[np.searchsorted(at, odd, side="right") - 1] = True
+        if not len(starts):
+            return out
         h = _HASH.prefix(raw, starts, ends)
-        for numbers in (h, _pair(h[:-1], h[1:])):
-            some = np.flatnonzero(self.low[(numbers & np.uint64(0xFFFF)).astype(np.int64)])
-            if len(some) and len(self.numbers):
-                k = np.minimum(np.searchsorted(self.numbers, numbers[some]), len(self.numbers) - 1)
-                some = some[self.numbers[k] == numbers[some]]
-                out[np.searchsorted(first, some, side="right") - 1] = True
+        text = np.repeat(np.arange(len(column)), np.diff(first))
+        line = np.searchsorted(np.flatnonzero(raw == 10), starts) + text
+        line -= line[0]
+        lines = int(line[-1]) + 1
+        p = _pair(h[:-1], h[1:])
+        alike, inside = text[1:] == text[:-1], line[1:] == line[:-1]
+        n = _distinct_by_line(line, h, lines) + _distinct_by_line(line[:-1][inside], p[inside], lines)
+        one, two = self.words.of(h), self.pairs.of(p)
+        known = np.flatnonzero(two >= 0)
+        row = np.full(len(p), -1, np.int64)
+        row[known] = self.pair_row[two[known]]
+        a, b = np.flatnonzero(one >= 0), np.flatnonzero((row >= 0) & inside)
+        rows = max(1, len(self.gain))
+        found = np.unique(np.concatenate([line[a] * rows + one[a], line[:-1][b] * rows + row[b]]))
+        to_text = np.zeros(lines, np.int64)
+        to_text[line] = text
+        if len(found):
+            at_line = found // rows
+            begin = np.flatnonzero(np.concatenate([[True], at_line[1:] != at_line[:-1]]))
+            z = np.add.reduceat(self.gain[found % rows], begin, axis=0)
+            which = at_line[begin]
+            good = (z / np.sqrt(n[which])[:, None] > self.margin - 1e-6).any(1)
+            out[to_text[which[good]]] = True
+        # Lines of which half the pairs, the one to the next line included, stand in notices.
+        total = np.bincount(line[:-1][alike], minlength=lines)
+        part = np.bincount(line[:-1][alike & (two >= 0)], minlength=lines)
+        out[to_text[np.flatnonzero((part > 0) & (2 * part >= total))]] = True
         return out
 
     def predict(self, w: list[str]) -> tuple[int, float]:
@@ -307,7 +372,7 @@ def scan_text(text: str | None, model: Model, limit: float = 0.5, share: float =
             pairs = list(zip(w, [*w[1:], *after[:1]]))
             if pairs and 2 * sum(x in _PAIRS for x in pairs) >= len(pairs):
                 starts.append(i)
-        if model.telling is not None and model.telling.isdisjoint(w) and model.pairs.isdisjoint(zip(w, w[1:])):
+        if not model.may(w):
             continue
         states[i] = judged(w)
     done, wrapped = 0, 0

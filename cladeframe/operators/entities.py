@@ -125,3 +125,56 @@ def agglomerate_entities(
     pairs = pairs.select(F.col(canopy).cast("string").alias("canopy"), *text("a", "b"), "score")
     members = members.select(F.col(canopy).cast("string").alias("canopy"), *text("pid", "label"), "attrs", *(["tes"] if titled else []))
     return pairs.groupBy("canopy").cogroup(members.groupBy("canopy")).applyInPandas(run, ROWS + ", canopy string, computations long")
+
+
+EPISODES = "canopy string, features array<double>, precision double"
+
+
+def merge_episodes(
+    pairs: DataFrame, members: DataFrame, *, model: str = "base_sub_ent", weights: dict | None = None, bias: float = 0.0, squash: bool = False, size: int = 20, seed: int = 7, canopy: str = "canopy",
+) -> DataFrame:
+    """(canopy, features, precision): every merge that exact clustering of ``size`` mentions a canopy (of
+    least seeded hash) looks at, under the given merge model, with the share of same-label pairs among
+    the labelled mentions of the merge (0 where there is no such pair)."""
+    ship(pairs.sparkSession)
+    titled = "tes" in members.columns
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values(["h", "pid"], kind="stable").head(size).sort_values("pid", kind="stable")
+        at = {p: i for i, p in enumerate(right["pid"])}
+        left = left[left["a"].isin(at) & left["b"].isin(at)]
+        m = np.full((len(at), len(at)), -np.inf)
+        i, j = left["a"].map(at).to_numpy(int), left["b"].map(at).to_numpy(int)
+        m[i, j] = m[j, i] = left["score"].to_numpy(float)
+        labels, out = right["label"].tolist(), []
+
+        class Watched(EntityScores):
+            def score(self, a, b):
+                f = self.features(a, b)
+                known = [labels[k] for k in [*a["keys"], *b["keys"]] if labels[k] is not None]
+                n = len(known) * (len(known) - 1) // 2
+                tp = sum(v * (v - 1) // 2 for v in pd.Series(known, dtype=object).value_counts()) if known else 0
+                x = [f[k] for k in self.names]
+                if np.isfinite(x).all():
+                    out.append((key[0], x, tp / n if n else 0.0))
+                return float(self.w @ x) + self.bias if np.isfinite(x).all() else -np.inf
+
+        attrs = [dict(x) if x is not None else {} for x in right["attrs"]]
+        linkage = Watched(m, attrs, list(right["tes"]) if titled else None, model=model, weights=weights, bias=bias, squash=squash)
+        exact([(np.zeros(1), p, l) for p, l in zip(right["pid"], labels)], linkage)
+        return pd.DataFrame(out, columns=["canopy", "features", "precision"])
+
+    text = lambda *c: [F.col(x).cast("string").alias(x) for x in c]
+    pairs = pairs.select(F.col(canopy).cast("string").alias("canopy"), *text("a", "b"), "score")
+    members = members.select(F.col(canopy).cast("string").alias("canopy"), *text("pid", "label"), "attrs", *(["tes"] if titled else []), F.xxhash64(F.col("pid").cast("string"), F.lit(seed)).alias("h"))
+    return pairs.groupBy("canopy").cogroup(members.groupBy("canopy")).applyInPandas(run, EPISODES)
+
+
+def fit_merge_model(episodes: DataFrame, model: str, *, reg: float = 0.01) -> dict:
+    """Least squares of merge precision on a merge model's features: {model, weights, bias}."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+
+    rows = episodes.select(array_to_vector("features").alias("features"), "precision")
+    fit = LinearRegression(featuresCol="features", labelCol="precision", regParam=reg, standardization=False).fit(rows)
+    return {"model": model, "weights": dict(zip(feature_names(model), map(float, fit.coefficients))), "bias": float(fit.intercept)}

@@ -185,25 +185,37 @@ def keep_best(a: DataFrame, b: DataFrame, k: int, key: str = "pid") -> DataFrame
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _token_sets(df: DataFrame, canopy: str, key: str, tokens: str) -> DataFrame:
+    """(canopy, k, s): sets that have tokens, as sorted arrays of the tokens' 64-bit hashes."""
+    return df.where(F.size(tokens) > 0).select(canopy, F.col(key).alias("k"), F.sort_array(F.array_distinct(F.transform(tokens, lambda w: F.xxhash64(w)))).alias("s"))
+
+
 def token_set_join(df: DataFrame, threshold: float, *, canopy: str = "canopy", key: str = "mid", tokens: str = "tokens") -> DataFrame:
-    """(a, b, common, na, nb): pairs of a canopy whose token sets have Jaccard >= threshold, exactly.
+    """(a, b, common, na, nb): pairs of a canopy whose token sets have Jaccard >= threshold, exactly (but
+    that tokens are told apart by 64-bit hashes).
 
     Equal sets form one class and only its least key is joined (see ``copies``); classes meet on
     the rarest tokens of their sets (prefix filter), so a frequent token never joins anything that
-    a rarer one does not.  Verification is on the full sets.
+    a rarer one does not, and only where the tokens after the common one are enough (positional
+    filter).  Tokens of one set alone are counted, not joined.  Verification is on the full sets.
     """
-    sets = df.where(F.size(tokens) > 0).select(canopy, F.col(key).alias("k"), F.sort_array(F.array_distinct(tokens)).alias("s"))
+    sets = _token_sets(df, canopy, key, tokens)
     # Written out: the sets are read four times below.
     reps = cut(sets.groupBy(canopy, "s").agg(F.min("k").alias("k")))
-    # Tokens are hashed for the filter alone: a collision adds a candidate, which verification drops.
-    flat = reps.select(canopy, "k", F.size("s").alias("n"), F.explode(F.transform("s", lambda w: F.xxhash64(w))).alias("w"))
-    freq = flat.groupBy(canopy, "w").agg(F.count("*").alias("df"))
-    ranked = flat.join(freq, [canopy, "w"]).withColumn("at", F.row_number().over(Window.partitionBy(canopy, "k").orderBy("df", "w")))
+    flat = reps.select(canopy, "k", F.size("s").alias("n"), F.explode("s").alias("w"))
+    freq = flat.groupBy(canopy, "w").agg(F.count("*").alias("df")).where("df > 1")
+    shared = flat.join(freq, [canopy, "w"])
+    # Tokens of one set alone are its rarest: they come first, whatever their order.
+    mine = Window.partitionBy(canopy, "k")
+    ranked = shared.withColumn("m", F.count("*").over(mine)).withColumn("at", F.col("n") - F.col("m") + F.row_number().over(mine.orderBy("df", "w")))
     # Sets with overlap o of n tokens share one of the n - o + 1 rarest; o >= threshold * n.
-    prefix = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1).where("df > 1").select(canopy, "k", "n", "w")
-    a = prefix.select(canopy, "w", F.col("k").alias("a"), F.col("n").alias("na"))
-    b = prefix.select(canopy, "w", F.col("k").alias("b"), F.col("n").alias("nb"))
-    cand = a.join(b, [canopy, "w"]).where((F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)).select("a", "b").distinct()
+    prefix = cut(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1).select(canopy, "k", "n", "w", "at"))
+    a = prefix.select(canopy, "w", F.col("k").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    b = prefix.select(canopy, "w", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    sized = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
+    # The first token that two sets share leaves room for the overlap that the threshold asks for.
+    enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + 1 >= F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-6
+    cand = a.join(b, [canopy, "w"]).where((F.col("a") < F.col("b")) & sized & enough).select("a", "b").distinct()
     left, right = reps.select(F.col("k").alias("a"), F.col("s").alias("sa")), reps.select(F.col("k").alias("b"), F.col("s").alias("sb"))
     got = cand.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
     return got.where(F.col("common") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("common")) - F.lit(1e-9))
@@ -211,18 +223,13 @@ def token_set_join(df: DataFrame, threshold: float, *, canopy: str = "canopy", k
 
 def copies(df: DataFrame, *, canopy: str = "canopy", key: str = "mid", tokens: str = "tokens") -> DataFrame:
     """(key, rep): the least key with the same canopy and token set; sets without tokens are alone."""
-    sets = df.select(canopy, key, F.sort_array(F.array_distinct(tokens)).alias("s"))
-    reps = sets.where(F.size("s") > 0).groupBy(canopy, "s").agg(F.min(key).alias("rep"))
-    return sets.join(reps, [canopy, "s"], "left").select(key, F.coalesce("rep", key).alias("rep"))
-
-
-def lsh_shape(threshold: float, recall: float, hashes: int) -> tuple[int, int]:
-    """(bands, rows) within ``hashes`` that find a pair at the threshold with the given probability."""
-    for rows in range(hashes, 0, -1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
-        if bands * rows <= hashes:
-            return bands, rows
-    return hashes, 1
+    sets = _token_sets(df, canopy, key, tokens)
+    digest = F.md5(F.col("s").cast("string"))
+    named = sets.select(canopy, "k", digest.alias("d"), F.size("s").alias("n"))
+    reps = named.groupBy(canopy, "d", "n").agg(F.min("k").alias("rep"))
+    found = named.join(reps, [canopy, "d", "n"]).select(F.col("k").alias(key), "rep")
+    alone = df.where(F.coalesce(F.size(tokens), F.lit(0)) <= 0).select(key, F.col(key).alias("rep"))
+    return found.union(alone)
 
 
 def set_features(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -6,15 +6,15 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import PAIR_MODELS, linear_score, pair_features
-from ..session import ship
+from ..session import cut, drop, ship
 from .hac import _Roots
 from .linkage import PairScores
 from .trees import Tree
-from .trees_sql import threshold_sweep
+from .trees_sql import class_counts, closure, cut_values, split_counts, threshold_sweep
 
 
 def pair_table(pairs: DataFrame, model: str, a: str = "a_attrs", b: str = "b_attrs", label: str = "label") -> DataFrame:
@@ -135,3 +135,76 @@ def train(labelled: DataFrame, mentions: DataFrame, *, model: str = "base", cano
     scored = score_pairs(canopy_pairs(mentions, canopy=canopy), pair).select(F.col("a_" + canopy).alias("canopy"), F.col("a_mid").alias("a"), F.col("b_mid").alias("b"), "score")
     members = mentions.select(F.col(canopy).alias("canopy"), F.col("mid").alias("pid"), F.col("gt").alias("label"))
     return {"pair": pair, "merge": fit_merge_model(merge_episodes(scored, members))}
+
+
+def _scored(mentions: DataFrame, pair: dict) -> tuple[DataFrame, DataFrame]:
+    """The pair scores of mentions, and the mentions as members."""
+    from .pairs import canopy_pairs
+
+    scored = score_pairs(canopy_pairs(mentions), pair).select(F.col("a_canopy").alias("canopy"), F.col("a_mid").alias("a"), F.col("b_mid").alias("b"), "score")
+    return scored, mentions.select("canopy", F.col("mid").alias("pid"), F.col("gt").alias("label"), "attrs", *[c for c in ("tes",) if c in mentions.columns])
+
+
+def of_size(mentions: DataFrame, most: int | None) -> DataFrame:
+    """The first ``most`` mentions of each canopy by id (development canopies may be cut)."""
+    if most is None:
+        return mentions
+    w = Window.partitionBy("canopy").orderBy("mid")
+    return mentions.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
+
+
+def evaluate(dev: DataFrame, fitted: dict, *, merge_model: str = "base_sub_ent", most: int | None = 100, squash: bool = False) -> tuple[float, float]:
+    """(threshold, micro F1) of the best threshold over all development canopies together: trees under
+    the model, then the exact sweep over the least scores of their subtrees."""
+    from .entities import agglomerate_entities
+
+    scored, members = _scored(of_size(dev, most), fitted["pair"])
+    merge = fitted.get("merge") or {}
+    tree = agglomerate_entities(scored, members, model=merge.get("model", merge_model), weights=merge.get("weights"), bias=merge.get("bias", 0.0), squash=squash)
+    name = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("/", "canopy", c))
+    nodes = cut(tree.select("canopy", name("node").alias("node"), name("parent").alias("parent"), "score", "is_leaf", "label"))
+    up = closure(nodes)
+    counts = class_counts(up, nodes)
+    gold = nodes.where("is_leaf and label is not null").groupBy("canopy", "label").agg(F.count("*").alias("n"))
+    gt = float(gold.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0)
+    best = best_threshold(cut_values(up, nodes, split_counts(counts, nodes)), gt)
+    drop(nodes, up)
+    return best
+
+
+def train_alternating(
+    labelled: DataFrame, mentions: DataFrame, dev: DataFrame, *, model: str = "base", merge_model: str = "base_sub_ent", regs: tuple = (0.1, 0.01, 0.001),
+    rounds: int = 2, refine: int = 4, size: int = 20, most: int | None = 100, squash: bool = False, seed: int = 7,
+) -> dict:
+    """Train the pair model with the merge model frozen, then the merge model with the pair model frozen,
+    ``rounds`` times; after each step the best on the development canopies is kept and gone on from.
+
+    Pair models differ in their regularisation.  A merge step gathers episodes, under the merge model so
+    far, from ``max(1, refine / canopies)`` samples of each canopy, beside all earlier episodes.
+    Returns {pair, merge, threshold, f1, history}; the history has one (step, f1, threshold) each.
+    """
+    from . import entities
+
+    table = cut(pair_table(labelled, model))
+    samples = max(1, refine // max(1, mentions.select("canopy").distinct().count()))
+    best: dict = {"pair": None, "merge": None, "f1": -1.0, "threshold": 0.0}
+    history, episodes = [], None
+
+    def look(step: str, pair: dict, merge: dict | None) -> None:
+        threshold, f1 = evaluate(dev, {"pair": pair, "merge": merge}, merge_model=merge_model, most=most, squash=squash)
+        history.append((step, f1, threshold))
+        if f1 > best["f1"]:
+            best.update(pair=pair, merge=merge, f1=f1, threshold=threshold)
+
+    for turn in range(rounds):
+        for reg in regs:
+            look(f"pair {turn} {reg}", fit_pair_model(table, model, reg=reg), best["merge"])
+        scored, members = _scored(mentions, best["pair"])
+        scored = cut(scored)
+        merge = best["merge"] or {}
+        for k in range(samples):
+            new = entities.merge_episodes(scored, members, model=merge_model, weights=merge.get("weights"), bias=merge.get("bias", 0.0), squash=squash, size=size, seed=seed + turn * samples + k)
+            episodes = cut(new if episodes is None else episodes.union(new))
+        look(f"merge {turn}", best["pair"], entities.fit_merge_model(episodes, merge_model))
+        drop(scored)
+    return best | {"history": history}

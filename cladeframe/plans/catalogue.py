@@ -9,7 +9,7 @@ from ..functions import aggregates as A
 from ..functions import features as X
 from ..functions import scalar as S
 from ..operators import baselines, components, hac, metrics, online, pairs, training, trees_sql
-from ..session import cut
+from ..session import cut, spread
 from ..sources.tables import attributes, separated_line, table
 from ..streaming.online import windowed_counts
 from .registry import ORACLE_SQL, QUERIES, query
@@ -19,8 +19,8 @@ STOP = ["a", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "i
 
 
 def _points(spark, d) -> DataFrame:
-    """Vector points (pid, label, vec); one file is one task, so rows are dealt out first."""
-    e = table(spark, d, "embeddings").repartition("vec_id")
+    """Vector points (pid, label, vec)."""
+    e = spread(table(spark, d, "embeddings"), "vec_id")
     return e.select(F.col("vec_id").alias("pid"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
 
 
@@ -28,7 +28,8 @@ def _points(spark, d) -> DataFrame:
 def _documents(spark, d) -> DataFrame:
     """Documents as mentions: canopy = language, tokens = distinct words."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("mid"), F.col("lang").alias("canopy"), words.alias("tokens"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "lang", "text"), "doc_id")
+    return docs.select(F.col("doc_id").alias("mid"), F.col("lang").alias("canopy"), words.alias("tokens"))
 
 
 _SQL_TOKENS = r"""

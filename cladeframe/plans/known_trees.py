@@ -159,7 +159,7 @@ def configured_run(spark, d):
 
 
 @query("""
-SELECT CAST(label AS VARCHAR) AS canopy, count(*) AS n_leaves, 2 * count(*) - 1 AS n_nodes, TRUE AS looked FROM embeddings GROUP BY label""")
+SELECT CAST(label AS VARCHAR) AS canopy, count(*) AS n_leaves, 2 * count(*) - 1 AS n_nodes, TRUE AS climbed FROM embeddings GROUP BY label""")
 def preset_tree_shapes(spark, d):
     """Online trees with preset neighbours in a seeded order, and with counters: one binary tree a canopy."""
     from .catalogue import _canopied
@@ -168,4 +168,4 @@ def preset_tree_shapes(spark, d):
     first = Window.partitionBy("canopy").orderBy("pos", "pid")
     p = p.withColumn("nn", F.lag("pid").over(first))
     t = online.cluster(p, scheme="graft", order="pos", counts=True)
-    return t.groupBy("canopy").agg(F.count(F.when(F.col("is_leaf"), 1)).alias("n_leaves"), F.count("*").alias("n_nodes"), (F.max(F.col("counts")["looked"]) > 0).alias("looked"))
+    return t.groupBy("canopy").agg(F.count(F.when(F.col("is_leaf"), 1)).alias("n_leaves"), F.count("*").alias("n_nodes"), (F.max(F.col("counts")["rotations"]) > 0).alias("climbed"))

@@ -35,6 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """``df`` dealt out by a key where it comes in fewer partitions than there are cores (a small table in
+    one file); a table of many splits is left as it is, without a shuffle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, *key) if df.rdd.getNumPartitions() < n else df
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete the files behind frames that ``cut`` returned, once nothing reads them any more."""
     for df in frames:

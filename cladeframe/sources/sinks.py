@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +64,3 @@ def histogram(df: DataFrame, column: str, bins: int, low: float, high: float) ->
     """(bin, n) of a column, for a plot: the counts are made in Spark and no drawing is kept here."""
     b = F.least(F.greatest(F.floor((F.col(column) - low) / (high - low) * bins), F.lit(0)), F.lit(bins - 1))
     return df.where(F.col(column).isNotNull()).groupBy(b.cast("int").alias("bin")).count().withColumnRenamed("count", "n")
-
-
-def fresh_name(prefix: str) -> str:
-    return f"{prefix}-{uuid.uuid4().hex}"

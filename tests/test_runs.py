@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cladeframe.operators import hac, online, training
 from cladeframe.operators.pairs import canopy_pairs
 from cladeframe.sources.sinks import dot_tree, tree_lines
-from cladeframe.streaming.online import _cluster_of, cluster_stream
+from cladeframe.streaming.online import _cluster_of, cluster_stream, mini_batch_stream, open_roots
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +47,47 @@ def test_batch_and_stream_build_the_same_tree(spark, blobs, tmp_path):
     assert dict(got[got["canopy"] == "a"].set_index("pid")["cluster"]) == then
 
 
+def test_streamed_mini_batches_keep_a_bounded_number_of_roots(spark, blobs, tmp_path):
+    blobs.repartition(1).sortWithinPartitions("pos").write.parquet(f"file://{tmp_path}/in")
+    stream = mini_batch_stream(spark.readStream.schema(blobs.schema).parquet(f"file://{tmp_path}/in"), size=6)
+    q = stream.writeStream.format("memory").queryName("nodes").option("checkpointLocation", f"file://{tmp_path}/cp").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    nodes = spark.table("nodes")
+    assert nodes.where("left is null").count() == 60 and nodes.count() == 60 + 2 * 24
+    left = {(r.canopy, r.node): r.n_leaves for r in open_roots(nodes).collect()}
+    assert sum(c == "a" for c, _ in left) == 6 and sum(left.values()) == 60
+    # The same merges as in one process, until no more points come.
+    rows = blobs.where("canopy = 'a'").orderBy("pos").collect()
+    tree = hac.Tree(online.LINKAGES["centroid"]())
+    roots, want = hac._Roots(tree), []
+    for r in rows:
+        roots.add(tree.leaf(np.array(r.vec), r.pid, r.label))
+        if len(roots.open) > 6:
+            k = roots.merge_best()
+            want.append((k, *tree.child[k], round(tree.score[k], 9)))
+    got = [(r.node, r.left, r.right, round(r.score, 9)) for r in nodes.where("canopy = 'a' and left is not null").orderBy("node").collect()]
+    assert got == want
+    with pytest.raises(ValueError):
+        mini_batch_stream(blobs, linkage="average")
+
+
+def test_alternating_training_picks_by_development_canopies(spark):
+    rng = np.random.default_rng(4)
+    rows = [(c, f"{c}{i:02d}", f"{c}{i % 4}", {"fn": [f"name{i % 4}"], "ca": [f"co{i % 4}", f"x{rng.integers(9)}"]}) for c in "abcd" for i in range(14)]
+    m = spark.createDataFrame(rows, "canopy string, mid string, gt string, attrs map<string,array<string>>")
+    train, dev = m.where("canopy in ('a', 'b')"), m.where("canopy in ('c', 'd')")
+    p = canopy_pairs(train).withColumn("label", (F.col("a_gt") == F.col("b_gt")).cast("double"))
+    fit = training.train_alternating(p, train, dev, merge_model="base_plus_name", regs=(0.1, 0.01), rounds=1, size=10)
+    assert [h[0] for h in fit["history"]] == ["pair 0 0.1", "pair 0 0.01", "merge 0"]
+    assert fit["f1"] == max(h[1] for h in fit["history"]) == pytest.approx(1.0)
+    t, f1 = training.evaluate(dev, fit, merge_model="base_plus_name")
+    assert (t, f1) == (fit["threshold"], fit["f1"])
+    assert training.of_size(m, 3).count() == 12
+
+
 def test_training_learns_pairs_and_merges(spark):
     rng = np.random.default_rng(3)
     rows = [(c, f"{c}{i:02d}", f"{c}{i % 4}", {"fn": [f"name{i % 4}"], "ca": [f"co{i % 4}", f"x{rng.integers(9)}"]}) for c in "ab" for i in range(16)]

@@ -533,9 +533,10 @@ def ehac_average_tree(spark, d):
 @query()
 def ehac_learned_tree(spark, d):
     """Single linkage on pair scores, as the untrained merge model is."""
-    p = _points(spark, d)
-    near = pairs.near_pairs(p, -1.0, label="label").where("same").join(p.select(F.col("pid").alias("a"), F.col("label").cast("string").alias("canopy")), "a")
-    return hac.agglomerate_scores(near, p.select(F.col("label").cast("string").alias("canopy"), "pid", F.col("label").cast("string").alias("label")))
+    p = _points(spark, d).withColumn("canopy", F.col("label").cast("string"))
+    both = pairs.canopy_pairs(p.select("canopy", F.col("pid").alias("mid"), "vec"))
+    near = both.select(F.col("a_canopy").alias("canopy"), F.col("a_mid").alias("a"), F.col("b_mid").alias("b"), S.cosine("a_vec", "b_vec").alias("score"))
+    return hac.agglomerate_scores(near, p.select("canopy", "pid", F.col("canopy").alias("label")))
 
 
 @query()

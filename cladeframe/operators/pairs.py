@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..session import cut, ship
+from ..session import cut, drop, ship
 
 
 def canopy_pairs(df: DataFrame, *, canopy: str = "canopy", key: str = "mid") -> DataFrame:
@@ -185,50 +185,190 @@ def keep_best(a: DataFrame, b: DataFrame, k: int, key: str = "pid") -> DataFrame
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _token_sets(df: DataFrame, canopy: str, key: str, tokens: str) -> DataFrame:
-    """(canopy, k, s): sets that have tokens, as sorted arrays of the tokens' 64-bit hashes."""
-    return df.where(F.size(tokens) > 0).select(canopy, F.col(key).alias("k"), F.sort_array(F.array_distinct(F.transform(tokens, lambda w: F.xxhash64(w)))).alias("s"))
+#: Buckets of the table of token frequencies; sets that a block of verification holds, about; bytes of a sketch.
+BUCKETS, SETS, SKETCH = 1 << 24, 8_000, 128
 
 
-def token_set_join(df: DataFrame, threshold: float, *, canopy: str = "canopy", key: str = "mid", tokens: str = "tokens") -> DataFrame:
+def _token_sets(df: DataFrame, canopy: str, key: str, tokens: str) -> DataFrame:
+    """(k, n, d1, d2, s): sets that have a canopy and tokens, as sorted arrays of 64-bit hashes of token and
+    canopy; n, d1 and d2 name the set."""
+    rows = df.where((F.size(tokens) > 0) & F.col(canopy).isNotNull())
+    s = F.sort_array(F.array_distinct(F.transform(tokens, lambda w: F.xxhash64(w, F.col(canopy)))))
+    return rows.select(F.col(key).alias("k"), s.alias("s")).select("k", F.size("s").alias("n"), F.xxhash64("s").alias("d1"), F.xxhash64(F.lit(1), "s").alias("d2"), "s")
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How frequent each bucket of tokens is, as 8 * log2 of the number of its tokens in all sets; the table
+    has one byte a bucket and comes to the driver in chunks."""
+    chunk = 1 << 12
+    at = F.pmod(F.col("w"), F.lit(BUCKETS)).cast("int")
+    counts = sets.select(F.explode("s").alias("w")).select(at.alias("at")).groupBy("at").agg(F.count("*").alias("c")).where("c > 1")
+
+    def run(key, t):
+        row = np.zeros(chunk, np.uint8)
+        row[t["at"].to_numpy() % chunk] = np.minimum(255, 8 * np.log2(t["c"].to_numpy())).astype(np.uint8)
+        return pa.table({"i": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([row.tobytes()], pa.binary())})
+
+    table = np.zeros(BUCKETS, np.uint8)
+    for r in counts.withColumn("i", (F.col("at") / chunk).cast("int")).groupBy("i").applyInArrow(run, "i int, v binary").collect():
+        table[r.i * chunk : (r.i + 1) * chunk] = np.frombuffer(r.v, np.uint8)
+    return table
+
+
+def _prefixes(sets: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """(k, n, top, p, sketch): the ``top`` rarest tokens of each set but for those of no other set, which come
+    first; and the parities of the counts of its tokens by 8 * SKETCH classes of hashes."""
+    table = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
+
+    def work(batches):
+        level = table.value
+        for b in batches:
+            s, n = b["s"], b["n"].to_numpy().astype(np.int64)
+            flat, end = s.flatten().to_numpy(), np.cumsum(n)
+            row = np.repeat(np.arange(len(n)), n)
+            of = level[flat % BUCKETS]
+            order = np.argsort(row * 256 + of, kind="stable")
+            top = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
+            keep = (np.arange(len(flat)) - np.repeat(end - n, n) < np.repeat(top, n)) & (of[order] > 0)
+            bits = np.bincount(row * (8 * SKETCH) + (flat >> 24) % (8 * SKETCH), minlength=len(n) * 8 * SKETCH).astype(np.uint8) & 1
+            sketch = np.packbits(bits.reshape(len(n), 8 * SKETCH), axis=1)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(n)))]).astype(np.int32)
+            p = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[order][keep]))
+            yield pa.RecordBatch.from_arrays([b["k"], b["n"], pa.array(top.astype(np.int32)), p, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["k", "n", "top", "p", "sketch"])
+
+    return sets.select("k", "n", "s").mapInArrow(work, f"k {kind}, n int, top int, p array<long>, sketch binary")
+
+
+def _by_hash(cand: DataFrame, blocks: int) -> DataFrame:
+    """(a, b, i, j): pairs with the blocks of their ends, which are hashes of the keys."""
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(29)), F.lit(blocks)).cast("int")
+    return cand.select("a", "b", block("a").alias("i"), block("b").alias("j"))
+
+
+def _by_group(cand: DataFrame, blocks: int, most: int) -> DataFrame:
+    """(a, b, i, j): pairs with blocks that keep the groups of a least neighbour together, so that most
+    ends need one block only; a group of more than ``most`` keys is dealt out to as many blocks as it needs."""
+    both = cand.select(F.col("a").alias("k"), F.col("b").alias("o")).union(cand.select(F.col("b").alias("k"), F.col("a").alias("o")))
+    least = both.groupBy("k").agg(F.min("o").alias("o")).select("k", F.least("k", "o").alias("g"))
+    large = least.groupBy("g").agg(F.count("*").alias("c"))
+    named = F.xxhash64("g", F.pmod(F.xxhash64("k", F.lit(29)), F.ceil(F.col("c") / most)))
+    at = cut(least.join(large, "g").select("k", F.pmod(named, F.lit(blocks)).cast("int").alias("i")))
+    return cand.join(at.withColumnRenamed("k", "a"), "a").join(at.select(F.col("k").alias("b"), F.col("i").alias("j")), "b").select("a", "b", "i", "j")
+
+
+#: Rows of places that are broadcast to the values, at most; beyond that both sides are shuffled.
+PLACES = 1_000_000
+
+
+def _in_blocks(dealt: DataFrame, values: DataFrame, work, schema: str) -> DataFrame:
+    """The rows that ``work(pairs (a, b), values (k, ...))`` gives for the pairs (a, b, i, j) of each two
+    blocks.  A row of ``values`` goes once to each two blocks where it has a pair, however many."""
+    ends = dealt.select(F.col("a").alias("k"), "i", "j").union(dealt.select(F.col("b").alias("k"), "i", "j"))
+    need = cut(ends.groupBy("k").agg(F.collect_set(F.struct("i", "j")).alias("at")))
+    few = need.count() <= PLACES
+    given = values.join(F.broadcast(need) if few else need, "k").withColumn("at", F.explode("at")).select(*values.columns, "at.i", "at.j")
+    return dealt.groupBy("i", "j").cogroup(given.groupBy("i", "j")).applyInArrow(work, schema)
+
+
+def _places(pairs: pa.Table, values: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of ``values`` that the two ends of the pairs are."""
+    return tuple(pc.index_in(pairs[c], value_set=values["k"]).to_numpy().astype(np.int64) for c in ("a", "b"))
+
+
+def _alike(threshold: float):
+    """The pairs whose sketches differ in no more classes than sets of that likeness can."""
+
+    def work(pairs, values):
+        a, b = _places(pairs, values)
+        bits = np.frombuffer(b"".join(values["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH // 8)
+        n = values["n"].to_numpy().astype(np.int64)
+        keep = np.zeros(len(a), bool)
+        for at in range(0, len(a), 50_000):
+            x, y = a[at : at + 50_000], b[at : at + 50_000]
+            # Of n tokens in all, sets of that likeness differ in (1 - t) / (1 + t) at most, and classes in no more.
+            most = (1 - threshold) / (1 + threshold) * (n[x] + n[y]) + 1e-6
+            keep[at : at + 50_000] = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= most
+        return pairs.select(["a", "b"]).filter(pa.array(keep))
+
+    return work
+
+
+def _verified(threshold: float):
+    """The pairs that reach the threshold, measured on the full sets."""
+
+    def work(pairs, values):
+        a, b = _places(pairs, values)
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        sets = values["s"].combine_chunks()
+        flat, start = sets.flatten().to_numpy(), np.concatenate([[0], np.cumsum(values["n"].to_numpy().astype(np.int64))])
+        names, ids = np.unique(flat, return_inverse=True)
+        n, has, common = np.diff(start), np.zeros(len(names), bool), np.zeros(len(a), np.int64)
+        for lo, hi in zip(first := np.flatnonzero(np.diff(a, prepend=-1)), [*first[1:], len(a)]):
+            mine = ids[start[a[lo]] : start[a[lo] + 1]]
+            has[mine] = True
+            for at in range(lo, hi, 1000):
+                y = b[at : min(hi, at + 1000)]
+                to = np.cumsum(n[y])
+                at_ids = np.arange(to[-1]) + np.repeat(start[y] - to + n[y], n[y])
+                common[at : at + len(y)] = np.add.reduceat(has[ids[at_ids]], to - n[y], dtype=np.int64)
+            has[mine] = False
+        keep = common >= threshold * (n[a] + n[b] - common) - 1e-9
+        cols = [pairs[c].combine_chunks().take(pa.array(order[keep])) for c in ("a", "b")]
+        return pa.table([*cols, *(pa.array(v[keep].astype(np.int32)) for v in (common, n[a], n[b]))], names=["a", "b", "common", "na", "nb"])
+
+    return work
+
+
+def token_set_join(df: DataFrame, threshold: float, *, canopy: str = "canopy", key: str = "mid", tokens: str = "tokens", sets: DataFrame | None = None) -> DataFrame:
     """(a, b, common, na, nb): pairs of a canopy whose token sets have Jaccard >= threshold, exactly (but
-    that tokens are told apart by 64-bit hashes).
+    that tokens are told apart by 64-bit hashes, and equal sets by two of them).
 
     Equal sets form one class and only its least key is joined (see ``copies``); classes meet on
     the rarest tokens of their sets (prefix filter), so a frequent token never joins anything that
     a rarer one does not, and only where the tokens after the common one are enough (positional
-    filter).  Tokens of one set alone are counted, not joined.  Verification is on the full sets.
+    filter).  Any order of tokens gives the same pairs: frequencies are counted by buckets of hashes, and
+    tokens whose bucket has one token of one set are not joined.  Candidates whose sketches differ too much
+    are dropped; the others are verified on the full sets, which go to blocks of pairs and not to each pair.
+    ``sets`` are those of ``df``, where they are written out already (``written_sets``).
     """
-    sets = _token_sets(df, canopy, key, tokens)
-    # Written out: the sets are read four times below.
-    reps = cut(sets.groupBy(canopy, "s").agg(F.min("k").alias("k")))
-    flat = reps.select(canopy, "k", F.size("s").alias("n"), F.explode("s").alias("w"))
-    freq = flat.groupBy(canopy, "w").agg(F.count("*").alias("df")).where("df > 1")
-    shared = flat.join(freq, [canopy, "w"])
-    # Tokens of one set alone are its rarest: they come first, whatever their order.
-    mine = Window.partitionBy(canopy, "k")
-    ranked = shared.withColumn("m", F.count("*").over(mine)).withColumn("at", F.col("n") - F.col("m") + F.row_number().over(mine.orderBy("df", "w")))
-    # Sets with overlap o of n tokens share one of the n - o + 1 rarest; o >= threshold * n.
-    prefix = cut(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1).select(canopy, "k", "n", "w", "at"))
-    a = prefix.select(canopy, "w", F.col("k").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
-    b = prefix.select(canopy, "w", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    ship(df.sparkSession)
+    kind = dict(df.dtypes)[key]
+    sets = written_sets(df, canopy=canopy, key=key, tokens=tokens) if sets is None else sets
+    reps = sets.groupBy("n", "d1", "d2").agg(F.min("k").alias("k")).select("k")
+    first = cut(_prefixes(sets, threshold, kind).join(reps, "k", "left_semi"))
+    flat = first.select("k", "n", (F.col("top") - F.size("p") + 1).alias("from"), F.posexplode("p").alias("o", "w")).select("k", "n", "w", (F.col("from") + F.col("o")).alias("at"))
+    a = flat.select("w", F.col("k").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    b = flat.select("w", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
     sized = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
     # The first token that two sets share leaves room for the overlap that the threshold asks for.
     enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + 1 >= F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-6
-    cand = a.join(b, [canopy, "w"]).where((F.col("a") < F.col("b")) & sized & enough).select("a", "b").distinct()
-    left, right = reps.select(F.col("k").alias("a"), F.col("s").alias("sa")), reps.select(F.col("k").alias("b"), F.col("s").alias("sb"))
-    got = cand.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
-    return got.where(F.col("common") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("common")) - F.lit(1e-9))
+    cand = a.join(b, "w").where((F.col("a") < F.col("b")) & sized & enough).select("a", "b").distinct()
+    blocks = max(1, -(-first.count() // SETS))
+    cand = cut(_by_hash(cand, blocks))
+    near = cut(_in_blocks(cand, first.select("k", "n", "sketch"), _alike(threshold), f"a {kind}, b {kind}"))
+    drop(first, cand)
+    blocks = max(blocks, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    dealt = cut(_by_group(near, blocks, SETS // 8))
+    return _in_blocks(dealt, sets.select("k", "n", "s"), _verified(threshold), f"a {kind}, b {kind}, common int, na int, nb int")
+
+
+def written_sets(df: DataFrame, *, canopy: str = "canopy", key: str = "mid", tokens: str = "tokens") -> DataFrame:
+    """The token sets of ``df``, written out: ``token_set_join`` and ``set_classes`` read them several times."""
+    return cut(_token_sets(df, canopy, key, tokens))
+
+
+def set_classes(sets: DataFrame) -> DataFrame:
+    """(k, rep): the least key with the same set, of the rows of ``written_sets``."""
+    named = sets.select("k", "n", "d1", "d2")
+    reps = named.groupBy("n", "d1", "d2").agg(F.min("k").alias("rep"))
+    return named.join(reps, ["n", "d1", "d2"]).select("k", "rep")
 
 
 def copies(df: DataFrame, *, canopy: str = "canopy", key: str = "mid", tokens: str = "tokens") -> DataFrame:
-    """(key, rep): the least key with the same canopy and token set; sets without tokens are alone."""
-    sets = _token_sets(df, canopy, key, tokens)
-    digest = F.md5(F.col("s").cast("string"))
-    named = sets.select(canopy, "k", digest.alias("d"), F.size("s").alias("n"))
-    reps = named.groupBy(canopy, "d", "n").agg(F.min("k").alias("rep"))
-    found = named.join(reps, [canopy, "d", "n"]).select(F.col("k").alias(key), "rep")
-    alone = df.where(F.coalesce(F.size(tokens), F.lit(0)) <= 0).select(key, F.col(key).alias("rep"))
+    """(key, rep): the least key with the same canopy and token set; rows without tokens or canopy are alone."""
+    found = set_classes(_token_sets(df, canopy, key, tokens)).withColumnRenamed("k", key)
+    alone = df.where((F.coalesce(F.size(tokens), F.lit(0)) <= 0) | F.col(canopy).isNull()).select(key, F.col(key).alias("rep"))
     return found.union(alone)
 
 

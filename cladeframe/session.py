@@ -27,12 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._cladeframe_folder
 
 
+#: With this set, a query's shuffle files go when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, so that iterations keep short plans and a
-    lost executor costs no more than its tasks."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    lost executor costs no more than its tasks.  What was shuffled for it is deleted once it is written."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    had = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if had is None else spark.conf.set(_CLEANUP, had)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:

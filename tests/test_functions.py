@@ -1,8 +1,10 @@
 """Functions, features, sources and metrics on fixtures worked out by hand."""
 
 import json
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +196,39 @@ def test_config_and_drawing(spark, tmp_path):
     g = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string")
     assert sinks.dot_graph(g).count("--") == 2 and sinks.dot_graph(g, limit=1) is None
     assert sinks.plain_json({"a": 1, "f": print}) == {"a": 1}
+
+
+def test_token_sets_of_a_large_group_of_near_copies(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(260):
+        words = base if i % 10 == 0 else [w for w in base if rng.random() > 0.08] + [f"x{i}"]
+        rows.append((i, None if i == 7 else "en" if i % 13 else "de", words))
+    rows += [(900, "en", []), (901, "en", None), (902, None, base)]
+    df = spark.createDataFrame(rows, "mid long, canopy string, tokens array<string>")
+    sets = {i: (c, set(t)) for i, c, t in rows if t and c}
+    rep = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    want = {}
+    for a in sets:
+        for b in sets:
+            if a < b and rep[a] == a and rep[b] == b and sets[a][0] == sets[b][0]:
+                x, y = sets[a][1], sets[b][1]
+                if len(x & y) >= 0.8 * len(x | y) - 1e-9:
+                    want[a, b] = (len(x & y), len(x), len(y))
+    got = pairs.token_set_join(df, 0.8)
+    assert {(r.a, r.b): (r.common, r.na, r.nb) for r in got.collect()} == want and len(want) > 5000
+    assert {r.mid: r.rep for r in pairs.copies(df).collect()} == {i: rep.get(i, i) for i, _, _ in rows}
+
+
+def test_values_go_to_blocks_of_pairs_and_not_to_each_pair(spark):
+    cand = spark.createDataFrame([(a, b) for a in range(60) for b in range(a + 1, 60)], "a long, b long")
+    values = spark.createDataFrame([(i, i * i) for i in range(70)], "k long, v long")
+
+    def work(p, v):
+        return pa.table({"n_pairs": pa.array([p.num_rows]), "n_values": pa.array([v.num_rows])})
+
+    total = [F.sum("n_pairs"), F.sum("n_values")]
+    for dealt, most in ((pairs._by_hash(cand, 3), 5), (pairs._by_group(cand, 3, 10), 5), (pairs._by_group(cand, 3, 100), 1)):
+        got = pairs._in_blocks(dealt, values, work, "n_pairs long, n_values long").agg(*total).first()
+        assert got[0] == 60 * 59 / 2 and 60 <= got[1] <= 60 * most

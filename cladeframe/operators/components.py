@@ -15,7 +15,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     out each round, so the plan stays short and no round is computed twice.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    e = cut(e.union(e.select("b", "a")).distinct())
+    # Both ways in one pass: a union of the two would compute the edges twice.
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    e = cut(e.select(ways.alias("e")).select("e.a", "e.b").distinct())
     label = cut(e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("c")))
     while True:
         near = e.join(label, e.b == label.id).groupBy("a").agg(F.min("c").alias("m"))

@@ -232,3 +232,16 @@ def test_values_go_to_blocks_of_pairs_and_not_to_each_pair(spark):
     for dealt, most in ((pairs._by_hash(cand, 3), 5), (pairs._by_group(cand, 3, 10), 5), (pairs._by_group(cand, 3, 100), 1)):
         got = pairs._in_blocks(dealt, values, work, "n_pairs long, n_values long").agg(*total).first()
         assert got[0] == 60 * 59 / 2 and 60 <= got[1] <= 60 * most
+
+
+def test_components_compute_the_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def edge(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    e = spark.createDataFrame([(1, 2), (2, 3), (7, 9), (4, 4)], "a long, b long").mapInArrow(edge, "a long, b long")
+    assert {(r.id, r.component) for r in components.connected_components(e).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)}
+    assert seen.value == 4

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cladeframe.functions import aggregates as A
 from cladeframe.functions import features as X
 from cladeframe.functions import scalar as S
-from cladeframe.operators import baselines, components, metrics, pairs
+from cladeframe.operators import baselines, components, metrics, pair_blocks, pairs
 from cladeframe.plans.config import Config
 from cladeframe.sources import sinks, tables
 
@@ -245,3 +245,31 @@ def test_components_compute_the_edges_once(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (7, 9), (4, 4)], "a long, b long").mapInArrow(edge, "a long, b long")
     assert {(r.id, r.component) for r in components.connected_components(e).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)}
     assert seen.value == 4
+
+
+def test_features_of_blocks_are_those_of_the_expressions(spark):
+    rng = random.Random(8)
+    keys = ["fn", "mn", "ca", "t", "y", "em", "v", "vw", "i", "k", "mt", "r", "lda", "fil", "d"]
+    some = {"fn": ["j", "jo", "al", "a"], "mn": ["b", "bo", "bert"], "ca": ["p q", "r q", "s", "t  u "], "y": ["1999", "2003", "x"], "d": ["1.25", "-3.5", "none"]}
+    rows = []
+    for i in range(40):
+        attrs = {k: rng.sample(some.get(k, ["u", "v", "w", "x"]), rng.randint(0, 3)) for k in keys if rng.random() < 0.8}
+        rows.append((i, rng.choice(["de", "en", None]), attrs))
+    df = spark.createDataFrame(rows, "mid long, canopy string, attrs map<string,array<string>>")
+    models = list(X.PAIR_MODELS)
+    found = {}
+    for m in models:
+        found |= X.pair_features(m, "a_attrs", "b_attrs")
+    p = pairs.canopy_pairs(df).select("a_mid", "b_mid", *[c.alias(k) for k, c in found.items()])
+    want = {(r.a_mid, r.b_mid): r.asDict() for r in p.collect()}
+    got = pair_blocks.feature_rows(df, models, digits=None)
+    assert got.columns == ["a", "b", *found]
+    for block in (700, 6):
+        seen = pair_blocks.feature_rows(df, models, digits=None, block=block).collect()
+        assert len(seen) == len(want) > 200
+        for r in seen:
+            w = want[r.a, r.b]
+            assert {k: w[k] if k == "d_near" and w[k] is None else pytest.approx(w[k]) for k in found} == {k: r[k] for k in found}
+    same = df.withColumn("attrs", F.map_filter("attrs", lambda k, _: k.isin("fn", "mn")))
+    counts = pair_blocks.feature_counts(same, "name", F.array_join(S.items("attrs", "fn"), "/"))
+    assert counts.agg(F.sum("n")).first()[0] == len(want) and counts.where("fn_match > 0").agg(F.sum("n")).first()[0] == sum(w["fn_match"] > 0 for w in want.values())

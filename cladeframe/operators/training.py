@@ -23,14 +23,15 @@ def pair_table(pairs: DataFrame, model: str, a: str = "a_attrs", b: str = "b_att
     return pairs.select(*[c for c in pairs.columns if c not in f], *[c.alias(k) for k, c in f.items()]) if label in pairs.columns else pairs.select("*", *[c.alias(k) for k, c in f.items()])
 
 
-def fit_pair_model(table: DataFrame, model: str, *, label: str = "label", reg: float = 0.001, max_iter: int = 50) -> dict:
-    """Logistic regression over a model's features: {features, weights, bias}, plain enough for JSON."""
+def fit_pair_model(table: DataFrame, model: str, *, label: str = "label", reg: float = 0.001, max_iter: int = 50, weight: str | None = None) -> dict:
+    """Logistic regression over a model's features: {features, weights, bias}, plain enough for JSON.  A row
+    counts as ``weight`` rows where that column is named."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     names = list(pair_features(model, "x", "y")) if model in PAIR_MODELS else [model]
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(table.where(F.col(label).isNotNull()))
-    fit = LogisticRegression(featuresCol="features", labelCol=label, regParam=reg, maxIter=max_iter, standardization=False).fit(rows)
+    fit = LogisticRegression(featuresCol="features", labelCol=label, regParam=reg, maxIter=max_iter, standardization=False, **({"weightCol": weight} if weight else {})).fit(rows)
     return {"model": model, "weights": dict(zip(names, map(float, fit.coefficients))), "bias": float(fit.intercept)}
 
 

@@ -1,6 +1,7 @@
 """Rules stated in words, checked against plain versions: walks, rotations, cuts, ties, entity merges."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -332,3 +333,15 @@ def test_models_are_saved_and_loaded(spark, tmp_path):
     fitted = {"pair": {"model": "email", "weights": {"em_overlap": 2.0}, "bias": -1.0}, "merge": None}
     training.save(spark, fitted, f"file://{tmp_path}/model")
     assert training.load(spark, f"file://{tmp_path}/model") == fitted
+
+
+def test_cosine_average_keeps_a_matrix_and_not_a_heap_of_pairs():
+    x = np.random.default_rng(3).normal(size=(300, 6))
+    x[7] = 0
+    slow, fast = hac.mini_batch(points(x), LINKAGES["cosine_average"](), 300), hac.exact(points(x), LINKAGES["cosine_average"]())
+    assert slow.child == fast.child and [s for s in slow.score if s is not None] == pytest.approx([s for s in fast.score if s is not None])
+    tracemalloc.start()
+    hac.exact(points(x), LINKAGES["cosine_average"]())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 * 300 * 300

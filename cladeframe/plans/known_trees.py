@@ -7,8 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalar as S
-from ..operators import entities, hac, online, pairs, training, trees_sql
+from ..operators import hac, online, single, training, trees_sql
 from ..session import cut, shared_dir
 from ..sources.tables import separated_line
 from . import mentions as M
@@ -59,17 +58,10 @@ def learned_tree_cut(spark, d):
     from .catalogue import _points
 
     p = _points(spark, d).withColumn("canopy", F.col("label").cast("string"))
-    both = hac_pairs(p)
-    t = entities.agglomerate_entities(both, p.select("canopy", "pid", F.col("canopy").alias("label"), F.create_map().cast("map<string,array<string>>").alias("attrs")))
+    t = single.cosine_trees(p.select("canopy", "pid", F.col("canopy").alias("label"), "vec"))
     return _least_members(t, 0.3)
 
 
-def hac_pairs(points: DataFrame) -> DataFrame:
-    """(canopy, a, b, score): cosines of all pairs inside a canopy."""
-    p = pairs.canopy_pairs(points.select("canopy", F.col("pid").alias("mid"), "vec"))
-    return p.select(F.col("a_canopy").alias("canopy"), F.col("a_mid").alias("a"), F.col("b_mid").alias("b"), S.cosine("a_vec", "b_vec").alias("score"))
-
-
 def _least_members(tree: DataFrame, t: float) -> DataFrame:
     """(pid, cluster): threshold clusters of the trees of all canopies, named by their least member."""
     found = cut(R.clusters_of(tree, t).select(F.col("pid").cast("long").alias("pid"), "threshold_cluster"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..session import cut, drop, ship
+from ..session import cut, drop, ship, unshuffled
 
 
 def canopy_pairs(df: DataFrame, *, canopy: str = "canopy", key: str = "mid") -> DataFrame:
@@ -185,8 +185,9 @@ def keep_best(a: DataFrame, b: DataFrame, k: int, key: str = "pid") -> DataFrame
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Buckets of the table of token frequencies; sets that a block of verification holds, about; bytes of a sketch.
-BUCKETS, SETS, SKETCH = 1 << 24, 8_000, 128
+#: Buckets of the table of token frequencies; sets that a block of verification holds, about; bytes of a sketch;
+#: sketches that a block of their comparison holds, about.
+BUCKETS, SETS, SKETCH, SKETCHES = 1 << 24, 8_000, 128, 100_000
 
 
 def _token_sets(df: DataFrame, canopy: str, key: str, tokens: str) -> DataFrame:
@@ -210,7 +211,9 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
         return pa.table({"i": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([row.tobytes()], pa.binary())})
 
     table = np.zeros(BUCKETS, np.uint8)
-    for r in counts.withColumn("i", (F.col("at") / chunk).cast("int")).groupBy("i").applyInArrow(run, "i int, v binary").collect():
+    with unshuffled(sets.sparkSession):
+        rows = counts.withColumn("i", (F.col("at") / chunk).cast("int")).groupBy("i").applyInArrow(run, "i int, v binary").collect()
+    for r in rows:
         table[r.i * chunk : (r.i + 1) * chunk] = np.frombuffer(r.v, np.uint8)
     return table
 
@@ -256,20 +259,35 @@ def _by_group(cand: DataFrame, blocks: int, most: int) -> DataFrame:
     return cand.join(at.withColumnRenamed("k", "a"), "a").join(at.select(F.col("k").alias("b"), F.col("i").alias("j")), "b").select("a", "b", "i", "j")
 
 
-#: Rows of places that are broadcast to the values, at most; beyond that both sides are shuffled.
-PLACES = 1_000_000
+#: Places that are broadcast to the values, at most: about 50 bytes a row and 8 a place, a few times over, pass
+#: the driver.
+PLACES = 300_000
 
 
 def _in_blocks(dealt: DataFrame, values: DataFrame, work, schema: str) -> DataFrame:
     """The rows that ``work(pairs (a, b), values (k, ...))`` gives for the pairs (a, b, i, j) of each two
     blocks.  A row of ``values`` goes once to each two blocks where it has a pair, however many."""
-    ends = dealt.select(F.col("a").alias("k"), "i", "j").union(dealt.select(F.col("b").alias("k"), "i", "j"))
-    need = cut(ends.groupBy("k").agg(F.collect_set(F.struct("i", "j")).alias("at")))
-    few = need.count() <= PLACES
-    given = values.join(F.broadcast(need) if few else need, "k").withColumn("at", F.explode("at")).select(*values.columns, "at.i", "at.j")
+    both = F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("j").cast("long"))
+    ends = dealt.select(F.explode(F.array("a", "b")).alias("k"), both.alias("at"))
+    need = cut(ends.groupBy("k").agg(F.collect_set("at").alias("at")))
+    places = need.agg(F.sum(F.size("at"))).first()[0] or 0
+    # Beyond that both sides are shuffled; without the hint Spark goes by the size of the compressed files.
+    need = F.broadcast(need) if places <= PLACES else need.hint("merge")
+    at = [F.shiftright("at", 32).cast("int").alias("i"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("j")]
+    given = values.join(need, "k").withColumn("at", F.explode("at")).select(*values.columns, *at)
     return dealt.groupBy("i", "j").cogroup(given.groupBy("i", "j")).applyInArrow(work, schema)
 
 
+def _between_blocks(cand: DataFrame, values: DataFrame, work, schema: str, blocks: int) -> DataFrame:
+    """``_in_blocks`` for small values, most of which have pairs: each goes to every two blocks of which one is
+    its own, so that nothing is known of a key but its hash, and nothing of the keys passes the driver."""
+    mine, low, high = F.pmod(F.xxhash64("k", F.lit(29)), F.lit(blocks)).cast("int"), F.least("i", "j"), F.greatest("i", "j")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    ends = [low.alias("i"), high.alias("j")]
+    given = values.withColumn("i", mine).withColumn("j", every).select(*values.columns, *ends)
+    return _by_hash(cand, blocks).select("a", "b", *ends).groupBy("i", "j").cogroup(given.groupBy("i", "j")).applyInArrow(work, schema)
+
+
 def _places(pairs: pa.Table, values: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The rows of ``values`` that the two ends of the pairs are."""
     return tuple(pc.index_in(pairs[c], value_set=values["k"]).to_numpy().astype(np.int64) for c in ("a", "b"))
@@ -330,6 +348,7 @@ def token_set_join(df: DataFrame, threshold: float, *, canopy: str = "canopy", k
     filter).  Any order of tokens gives the same pairs: frequencies are counted by buckets of hashes, and
     tokens whose bucket has one token of one set are not joined.  Candidates whose sketches differ too much
     are dropped; the others are verified on the full sets, which go to blocks of pairs and not to each pair.
+    Of keys and places the driver holds no more than ``PLACES``.
     ``sets`` are those of ``df``, where they are written out already (``written_sets``).
     """
     ship(df.sparkSession)
@@ -344,11 +363,11 @@ def token_set_join(df: DataFrame, threshold: float, *, canopy: str = "canopy", k
     # The first token that two sets share leaves room for the overlap that the threshold asks for.
     enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + 1 >= F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-6
     cand = a.join(b, "w").where((F.col("a") < F.col("b")) & sized & enough).select("a", "b").distinct()
-    blocks = max(1, -(-first.count() // SETS))
-    cand = cut(_by_hash(cand, blocks))
-    near = cut(_in_blocks(cand, first.select("k", "n", "sketch"), _alike(threshold), f"a {kind}, b {kind}"))
+    n, cores = first.count(), df.sparkSession.sparkContext.defaultParallelism
+    cand = cut(cand)
+    near = cut(_between_blocks(cand, first.select("k", "n", "sketch"), _alike(threshold), f"a {kind}, b {kind}", _blocks(n, SKETCHES, math.isqrt(4 * cores) + 1, SETS)))
     drop(first, cand)
-    blocks = max(blocks, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    blocks = max(1, -(-n // SETS), 2 * cores)
     dealt = cut(_by_group(near, blocks, SETS // 8))
     return _in_blocks(dealt, sets.select("k", "n", "s"), _verified(threshold), f"a {kind}, b {kind}, common int, na int, nb int")
 

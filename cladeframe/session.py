@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,17 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def unshuffled(spark: SparkSession):
+    """Of queries that run inside, what was shuffled is deleted once they end."""
+    had = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if had is None else spark.conf.set(_CLEANUP, had)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, so that iterations keep short plans and a
     lost executor costs no more than its tasks.  What was shuffled for it is deleted once it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    had = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with unshuffled(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if had is None else spark.conf.set(_CLEANUP, had)
     return spark.read.schema(df.schema).parquet(path)
 
 

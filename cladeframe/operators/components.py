@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..session import cut, drop
 
 
+#: Labels that Spark may send to all tasks by way of the driver, at most.
+LABELS = 300_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the least id reachable from each end of an edge.
 
@@ -19,7 +23,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     e = cut(e.select(ways.alias("e")).select("e.a", "e.b").distinct())
     label = cut(e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("c")))
+    many = label.count() > LABELS
     while True:
+        # Without the hint Spark goes by the size of the compressed files.
+        label = label.hint("merge") if many else label
         near = e.join(label, e.b == label.id).groupBy("a").agg(F.min("c").alias("m"))
         step = label.join(near, label.id == near.a).select("id", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         far = label.select(F.col("id").alias("at"), F.col("c").alias("far"))
